@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from kerege.llm.packing import op5_grouping_genetic
 from kerege.llm.recompression import OP2_SQL, op2_recompression
 from kerege.llm.simhash import op1_simhash
+from kerege.llm.tokens import op9_rank_synchronous
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_recompression": op2_recompression,
+    "op5_grouping_genetic": op5_grouping_genetic,
+    "op9_rank_synchronous": op9_rank_synchronous,
 }
 
 ORACLE_SQL = {
