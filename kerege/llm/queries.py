@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from kerege.llm.decontamination import OP4_SQL, op4_spaced_seeds
 from kerege.llm.packing import op5_grouping_genetic
+from kerege.llm.quality_rules import op3_outliers
 from kerege.llm.recompression import OP2_SQL, op2_recompression
 from kerege.llm.simhash import op1_simhash
 from kerege.llm.tokens import op9_rank_synchronous
@@ -10,10 +12,13 @@ from kerege.llm.tokens import op9_rank_synchronous
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_recompression": op2_recompression,
+    "op3_outliers": op3_outliers,
+    "op4_spaced_seeds": op4_spaced_seeds,
     "op5_grouping_genetic": op5_grouping_genetic,
     "op9_rank_synchronous": op9_rank_synchronous,
 }
 
 ORACLE_SQL = {
     "op2_recompression": OP2_SQL,
+    "op4_spaced_seeds": OP4_SQL,
 }
