@@ -9,7 +9,7 @@ Each symbol knows the words it covers and the words that its parse depends on (i
 WINDOW words that holds a symbol's whole context holds that symbol wherever the window stands. Each window is
 filed under the longest such symbol (ties: the largest name), so equal windows are filed under equal
 names. Only names that stand in two documents can belong to a repeat: they reveal the candidates, whose
-windows are then compared by 128-bit hashes of their words. Windows without a contained symbol
+windows are then compared by 128-bit hashes of their words. Of exact copies only the first is compared. Windows without a contained symbol
 of two words or more are filed under their words' names, so none is lost.
 """
 
@@ -17,20 +17,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerege.llm._common import dropped, written
 from kerege.shipping import ship_package
 
 WINDOW = 13
-ROUNDS = 5
+ROUNDS = 3
 #: Words named at once.
 CHUNK = 200_000
+#: Names, and then windows, are compared in so many slices of their hashes, each of which frees its shuffle files before the next.
+SLICES = 4
 
 _U = np.uint64
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -134,48 +137,78 @@ def _runs(window: int, rounds: int):
 
 
 def _hashes(window: int):
-    """Rows (doc_id, text_hash, at, h1, h2) of the candidate windows, from (doc_id, text_hash, text, spans)."""
+    """Rows (doc_id, place, h1, h2) of the candidate windows, from (doc_id, number, text, spans); place is number and start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, hashes, at, digests = [], [], [], []
-            for doc_id, text_hash, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            ids, places, digests = [], [], []
+            for doc_id, number, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 words = text.as_py().encode("utf-8", "surrogatepass").split()
                 joined = b" ".join(words)
-                ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
-                places = [k for span in spans for k in range(span["first"], span["last"] + 1)]
-                ids += [doc_id] * len(places)
-                hashes += [text_hash] * len(places)
-                at += places
-                digests += [xxhash.xxh3_128_digest(joined[ends[k - 1] + 1 if k else 0 : ends[k + window - 1]]) for k in places]
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                first, last = spans.values.to_numpy() >> 32, spans.values.to_numpy() & 0xFFFFFFFF
+                length = last - first + 1
+                at = np.repeat(first - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
+                begin = np.where(at > 0, ends[at - 1] + 1, 0)
+                digests += [digest(joined[b:e]) for b, e in zip(begin.tolist(), ends[at + window - 1].tolist(), strict=True)]
+                ids.append(np.full(len(at), doc_id))
+                places.append(at | number << 32)
             both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            cut = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(at, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays(cut, names=["doc_id", "text_hash", "at", "h1", "h2"])
+            cut = [np.concatenate(ids) if ids else np.empty(0, np.int64), np.concatenate(places) if ids else np.empty(0, np.int64), both[:, 0].copy(), both[:, 1].copy()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cut], names=["doc_id", "place", "h1", "h2"])
 
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+def _in_slices(make, name: str) -> DataFrame:
+    """The table of make(0) .. make(SLICES - 1), written one after the other, so that their shuffles don't stand on disk together."""
+    parts = [written(make(k), name) for k in range(SLICES)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, text_hash, starts): in each row of docs, the sorted starts of windows whose words also start in a document of smaller doc_id."""
+    """(doc_id, text_hash, starts, whole): for each distinct row of docs with repeats, the starts of windows whose words also start in a
+    document of smaller doc_id. A text that such a document has as a whole gets whole = true and no starts.
+    """
     ship_package(docs.sparkSession)
-    keyed = _keyed(docs.where("doc_id is not null and text is not null"))
+    keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    # exact copies: only the first one's windows are compared
+    rows = written(keyed.select("doc_id", "text_hash", F.md5("text").alias("digest")).distinct(), "texts")
+    owner = rows.groupBy("digest").agg(F.min("doc_id").alias("low"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")).cast("long").alias("number")  # of the texts of one doc_id
+    rows = written(rows.join(owner, "digest").select("doc_id", "text_hash", number, (F.col("doc_id") > F.col("low")).alias("copy")), "texts")
+    firsts, copies = rows.where("not copy").drop("copy"), rows.where("copy")
+
     runs = written(keyed.mapInArrow(_runs(window, rounds), "doc_id long, text_hash long, name long, first int, last int"), "runs")
-    shared = runs.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
-    spans = runs.join(shared, "name").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    found = keyed.join(spans, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "spans")
-    hashed = written(found.mapInArrow(_hashes(window), "doc_id long, text_hash long, at int, h1 long, h2 long"), "windows")
-    lowest = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+
+    def revealed(k: int) -> DataFrame:
+        part = runs.where(F.pmod("name", F.lit(SLICES)) == k)
+        shared = part.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
+        return part.join(shared, "name").select("doc_id", "text_hash", F.expr("shiftleft(cast(first as bigint), 32) | last").alias("span"))
+
+    spans = _in_slices(revealed, "spans")
     dropped(runs)
-    late = hashed.join(lowest.select("h1", "h2", "low"), ["h1", "h2"]).where("doc_id > low")
-    return late.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    spans = spans.groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("spans")).join(firsts, ["doc_id", "text_hash"])
+    found = keyed.join(written(spans, "spans"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "number"]).select("doc_id", "number", "text", "spans")
+    hashed = written(found.mapInArrow(_hashes(window), "doc_id long, place long, h1 long, h2 long"), "windows")
+
+    def verified(k: int) -> DataFrame:
+        part = hashed.where(F.pmod("h1", F.lit(SLICES)) == k)
+        lowest = part.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
+        return part.join(lowest, ["h1", "h2"]).where("doc_id > low").select("doc_id", "place")
+
+    late = _in_slices(verified, "late")
+    dropped(hashed)
+    late = late.groupBy("doc_id", F.expr("shiftright(place, 32)").alias("number")).agg(F.collect_list(F.expr("cast(place & 4294967295L as int)")).alias("starts"))
+    starts = late.join(firsts, ["doc_id", "number"]).select("doc_id", "text_hash", "starts", F.lit(False).alias("whole"))
+    return starts.unionByName(copies.select("doc_id", "text_hash", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
 
 
-def _kept_words(text: str | None, starts: list[int] | None, window: int) -> tuple[list[bytes], int, int]:
+def _kept_words(text: str | None, starts: list[int] | None, whole: bool | None, window: int) -> tuple[list[bytes], int, int]:
     words = (text or "").encode("utf-8", "surrogatepass").split()
+    if whole and len(words) >= window:
+        return [], len(words), len(words)
     if not starts:
         return words, len(words), 0
     covered = np.zeros(len(words) + 1, np.int64)
@@ -188,7 +221,7 @@ def _kept_words(text: str | None, starts: list[int] | None, window: int) -> tupl
 def _digests(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_kept_words(t.as_py(), s, window) for t, s in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            rows = [_kept_words(t.as_py(), s.as_py(), w, window) for t, s, w in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True)]
             cut = [
                 batch.column(0),
                 pa.array([r[1] for r in rows], pa.int64()),
@@ -203,17 +236,20 @@ def _digests(window: int):
 def _texts(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, starts = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("__starts")).to_pylist()
-            kept = [t.as_py() if not s else b" ".join(_kept_words(t.as_py(), s, window)[0]).decode("utf-8", "surrogatepass") for t, s in zip(texts, starts, strict=True)]
-            out = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__starts"} | {"text": pa.array(kept, pa.string())}
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            starts, whole, kept = cols.pop("__starts"), cols.pop("__whole").to_pylist(), []
+            for text, s, w in zip(cols["text"], starts, whole, strict=True):
+                words, _, removed = _kept_words(text.as_py(), s.as_py(), w, window) if w or s.is_valid else ([], 0, 0)
+                kept.append(b" ".join(words).decode("utf-8", "surrogatepass") if removed else text.as_py())
+            cols["text"] = pa.array(kept, pa.string())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
 
 
-def _with_starts(docs: DataFrame, window: int, key: Column) -> DataFrame:
-    starts = repeated_windows(docs, window).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("starts").alias("__starts"))
-    return docs.join(starts, (key == F.col("__doc")) & (F.xxhash64(docs.text) == F.col("__hash")), "left").drop("__doc", "__hash")
+def _with_starts(docs: DataFrame, window: int) -> DataFrame:
+    starts = repeated_windows(docs, window).select(*[F.col(a).alias(b) for a, b in (("doc_id", "__doc"), ("text_hash", "__hash"), ("starts", "__starts"), ("whole", "__whole"))])
+    return docs.join(starts, (docs.doc_id == F.col("__doc")) & (F.xxhash64(docs.text) == F.col("__hash")), "left").drop("__doc", "__hash")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -223,14 +259,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     too). Windows are judged on the input. Rows that repeat a doc_id aren't each other's
     source, as none has the smaller one; rows without doc_id neither lose words nor are a source.
     """
-    joined = _with_starts(docs, window, docs.doc_id)
+    joined = _with_starts(docs, window)
     return joined.mapInArrow(_texts(window), docs.schema)
 
 
 def op2_recompression(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for the whole documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    joined = _with_starts(docs, WINDOW, docs.doc_id).select("doc_id", "text", "__starts")
+    joined = _with_starts(docs, WINDOW).select("doc_id", "text", "__starts", "__whole")
     return joined.mapInArrow(_digests(WINDOW), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
