@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from kerege.llm.decontamination import OP4_SQL, op4_spaced_seeds
+from kerege.llm.html_text import op8_text_blocks
+from kerege.llm.licences import op6_fuzzy_notices
+from kerege.llm.line_quality import op7_line_field
 from kerege.llm.packing import op5_grouping_genetic
 from kerege.llm.quality_rules import op3_outliers
 from kerege.llm.recompression import OP2_SQL, op2_recompression
 from kerege.llm.simhash import op1_simhash
 from kerege.llm.tokens import op9_rank_synchronous
+from kerege.llm.toxicity import op10_kneser_ney
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -15,7 +19,11 @@ QUERIES = {
     "op3_outliers": op3_outliers,
     "op4_spaced_seeds": op4_spaced_seeds,
     "op5_grouping_genetic": op5_grouping_genetic,
+    "op6_fuzzy_notices": op6_fuzzy_notices,
+    "op7_line_field": op7_line_field,
+    "op8_text_blocks": op8_text_blocks,
     "op9_rank_synchronous": op9_rank_synchronous,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 ORACLE_SQL = {
