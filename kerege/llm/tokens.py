@@ -1,6 +1,6 @@
 """Token counts by rank-synchronous array merging.
 
-A text is cut where no piece can reach across: in front of each space mark that follows another character. The
+A text is cut where no piece can reach across: in front of each space mark that follows another character, and at lines' ends. The
 distinct pre-tokens of a batch are laid out as one ragged array of symbols (one for each character at first). Every
 step finds each sequence's lowest-rank pair and merges it in all sequences at once; a sequence without a
 pair that makes a piece leaves the array. What survives is counted: a symbol that is a piece is one token,
@@ -30,7 +30,7 @@ KEPT = 500_000
 SYMBOLS = 400_000
 
 MARK = "▁"
-_UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_SLOTS = 20
 _NONE = np.iinfo(np.int64).max
 
 
@@ -49,13 +49,27 @@ class PieceCounter:
         self.symbol = {c: i for c, i in symbols.items() if len(c) == 1}
         self.other = len(symbols)
         pairs = sorted((symbols[p[:k]] << 32 | symbols[p[k:]], symbols[p], ranks[s]) for p, s in score.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols)
-        self.pair, self.made, self.rank = np.array([*pairs, (_NONE, 0, _NONE)], np.int64).T
+        self.pair, self.made, self.rank = np.ascontiguousarray(np.array([*pairs, (_NONE, 0, _NONE)], np.int64).T)
+        # a pair's row in these arrays by its hash; pairs that another has kept from their slot are searched
+        self.slot = np.full(1 << _SLOTS, len(self.pair) - 1, np.int32)
+        at, first = np.unique(self._hashed(self.pair), return_index=True)
+        self.slot[at] = first
+        # no piece holds a line's end in most models; then texts are cut there too
+        line = "" if any("\n" in p for p in score) else r"\n"
+        self.unit = re.compile(rf"{MARK}*[^{MARK}{line}]+|{MARK}+" + (f"|{line}+" if line else ""))
         self.kept, self.counts = kept, {}
 
+    @staticmethod
+    def _hashed(key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)
+
     def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left << 32 | right
-        at = np.searchsorted(self.pair, key)
+        at = self.slot[self._hashed(key)]
         found = self.pair[at] == key
+        unsure = np.flatnonzero(~found & (at != len(self.pair) - 1))
+        at[unsure] = np.searchsorted(self.pair, key[unsure])
+        found[unsure] = self.pair[at[unsure]] == key[unsure]
         return np.where(found, self.rank[at], _NONE), self.made[at]
 
     def merged(self, units: list[str]) -> np.ndarray:
@@ -115,10 +129,9 @@ class PieceCounter:
         fresh[chosen] = True
         return ids[keep], weight[keep], keep, seq[keep], fresh[keep]
 
-    @staticmethod
-    def units(text: str) -> list[str]:
+    def units(self, text: str) -> list[str]:
         """Pre-tokens of a text."""
-        return _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
+        return self.unit.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
@@ -126,7 +139,7 @@ class PieceCounter:
             self.counts.clear()
         counts, cut, missing = self.counts, [self.units(t) for t in texts], set()
         for units in cut:
-            missing.update(set(units) - counts.keys())
+            missing.update(set(units).difference(counts))
         todo, size = [], 0
         for unit in sorted(missing):
             todo.append(unit)
