@@ -6,7 +6,7 @@ Hashes of the training windows meet those of the benchmark in an equi-join. A hi
 item's words are compared with the document's. A document is contaminated if some WINDOW aligned words of an item (all of
 them, if it has fewer) agree in a SHARE of the places.
 
-The benchmark's seeds are broadcast if it has at most BROADCAST_WORDS words (about 100 bytes a seed); a larger one is
+The benchmark's seeds are broadcast if it has at most BROADCAST_WORDS words (about 50 bytes a seed); a larger one is
 joined by shuffle. Items of fewer words than SPAN hold no seed and aren't searched.
 """
 
@@ -33,11 +33,13 @@ def normal_words(text: Column) -> Column:
 
 
 def seeds(rows: DataFrame) -> DataFrame:
-    """rows with an array __words, and for each place and mask a row (.., __at, __key)."""
-    shifted = [F.slice("__words", k + 1, F.greatest(F.size("__words") - (SPAN - 1), F.lit(0))).alias(f"w{k}") for k in range(SPAN)]
-    placed = rows.select("*", F.posexplode(F.arrays_zip(*shifted)).alias("__at", "__w"))
-    keys = [F.xxhash64(F.lit(m), *[F.col(f"__w.w{k}") for k in range(SPAN) if mask[k] == "1"]) for m, mask in enumerate(MASKS)]
-    return placed.select("*", F.explode(F.array(*keys)).alias("__key")).drop("__w")
+    """rows with an array __words become, for each place and mask, a row of the other columns with __at and __key; the words aren't carried along."""
+    for m, mask in enumerate(MASKS):
+        kept = ", ".join(f"__words[i + {k}]" for k in range(SPAN) if mask[k] == "1")
+        rows = rows.withColumn(f"__k{m}", F.expr(f"case when size(__words) < {SPAN} then cast(array() as array<bigint>) else transform(sequence(0, size(__words) - {SPAN}), i -> xxhash64({m}, {kept})) end"))
+    others = [c for c in rows.columns if c != "__words" and not c.startswith("__k")]
+    placed = rows.select(*others, F.posexplode(F.arrays_zip(*[f"__k{m}" for m in range(len(MASKS))])).alias("__at", "__k"))
+    return placed.select(*others, "__at", F.explode(F.array(*[F.col(f"__k.__k{m}") for m in range(len(MASKS))])).alias("__key"))
 
 
 #: Which aligned places agree, and how many.
@@ -56,17 +58,19 @@ def _enough() -> Column:
 def contaminated_items(docs: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(doc_id, item_id, overlap long): documents that hold an item of benchmark (item_id, text), with most agreeing places."""
     items = written(benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), normal_words(F.col("text")).alias("__words")).distinct(), "items")
-    seeded = seeds(items).select(F.col("__key"), F.col("__at").alias("__item_at"), "item_id", F.col("__words").alias("__item"))
+    seeded = seeds(items).select("__key", F.col("__at").alias("__item_at"), "item_id")
     n_words = items.agg(F.sum(F.size("__words"))).first()[0] or 0
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__hash"), normal_words(F.col("text")).alias("__words"))
-    if n_words <= broadcast_words:
-        hits = seeds(words).join(F.broadcast(seeded), "__key")
-        aligned = hits.select("doc_id", "item_id", "__words", "__item", (F.col("__at") - F.col("__item_at")).alias("__start"))
-    else:
-        keys = seeds(words).select("doc_id", "__hash", "__at", "__key")
-        hits = keys.join(seeded.drop("__item"), "__key").select("doc_id", "__hash", "item_id", (F.col("__at") - F.col("__item_at")).alias("__start")).distinct()
-        aligned = hits.join(words, hits.doc_id.eqNullSafe(words.doc_id) & (hits["__hash"] == words["__hash"])).select(hits.doc_id, "item_id", "__words", "__start")
-        aligned = aligned.join(items.select("item_id", F.col("__words").alias("__item")), "item_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__hash"), "text")
+    placed = seeds(texts.select("doc_id", "__hash", normal_words(F.col("text")).alias("__words")))
+    hits = placed.join(F.broadcast(seeded) if n_words <= broadcast_words else seeded, "__key")
+    # one row for each lie of an item on a document, however many seeds agree
+    lies = written(hits.select("doc_id", "__hash", "item_id", (F.col("__at") - F.col("__item_at")).alias("__start")).distinct(), "lies")
+    held = lies.groupBy("doc_id", "__hash").agg(F.collect_list(F.struct("item_id", "__start")).alias("__lies"))
+    # a document's lies are as many as its words at most times the items; each document's text moves once
+    aligned = texts.join(held, texts.doc_id.eqNullSafe(held.doc_id) & (texts["__hash"] == held["__hash"])).select(texts.doc_id, normal_words(F.col("text")).alias("__words"), "__lies")
+    aligned = aligned.select("doc_id", F.explode("__lies").alias("__l"), "__words").select("doc_id", F.col("__l.item_id").alias("item_id"), F.col("__l.__start").alias("__start"), "__words")
+    whole = items.select("item_id", F.col("__words").alias("__item"))
+    aligned = aligned.join(F.broadcast(whole) if n_words <= broadcast_words else whole, "item_id")
     found = aligned.select("doc_id", "item_id", F.expr(_AGREE).alias("__agree")).where(_enough())
     return found.groupBy("doc_id", "item_id").agg(F.max(F.expr(f"cast({_COUNT} as bigint)")).alias("overlap"))
 

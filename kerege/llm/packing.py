@@ -15,6 +15,7 @@ import os
 import random
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,7 @@ class ChunkEncoder:
 
     A space between two other characters that aren't white space always begins a pre-token, so texts are cut there and
     the chunks' ids are kept and reused; a text with other spaces or a special token's string is encoded whole.
+    Where the file's merges stand in the order of their ids, tiktoken encodes the chunks by the same vocabulary, as it is several times faster.
     """
 
     def __init__(self, path: str, kept: int = KEPT):
@@ -55,6 +57,34 @@ class ChunkEncoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.kept, self.inner, self.lead = kept, {}, {}
+        self.ranked = self._ranked(path)
+
+    @staticmethod
+    def _ranked(path: str):
+        """The same vocabulary for tiktoken, or None if ids aren't ranks."""
+        import json
+
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        vocabulary, merges, before = told["model"]["vocab"], told["model"]["merges"], told["pre_tokenizer"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        if told["normalizer"] or before != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": before.get("trim_offsets"), "use_regex": True}:
+            return None
+        if any(vocabulary[a + b] != 256 + k for k, (a, b) in enumerate(pairs)) or len(vocabulary) != 256 + len(pairs):
+            return None
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        ranks = {bytes(byte[c] for c in token): k for token, k in vocabulary.items()}
+        return tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        if self.ranked is None:
+            return self._whole(chunks)
+        encode = self.ranked.encode_ordinary
+        return [array("I", encode(c)).tobytes() for c in chunks]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -71,13 +101,13 @@ class ChunkEncoder:
             if len(inner) > self.kept:
                 inner.clear()
             missing = list({c for c, p in zip(rest, parts, strict=True) if p is None})
-            found = dict(zip(missing, self._whole([" " + c for c in missing]), strict=True))
+            found = dict(zip(missing, self._chunks([" " + c for c in missing]), strict=True))
             parts = [found[c] if p is None else p for c, p in zip(rest, parts, strict=True)]
             inner.update(found)
         if (head := self.lead.get(first)) is None:
             if len(self.lead) > self.kept // 4:
                 self.lead.clear()
-            head = self.lead[first] = self._whole([first])[0]
+            head = self.lead[first] = self._chunks([first])[0]
         return head + b"".join(parts)
 
 

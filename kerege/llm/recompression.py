@@ -161,10 +161,9 @@ def _hashes(window: int):
     return run
 
 
-def _in_slices(make, name: str) -> DataFrame:
-    """The table of make(0) .. make(SLICES - 1), written one after the other, so that their shuffles don't stand on disk together."""
-    parts = [written(make(k), name) for k in range(SLICES)]
-    return reduce(DataFrame.unionByName, parts)
+def _in_slices(make, name: str) -> list[DataFrame]:
+    """The tables of make(0) .. make(SLICES - 1), written one after the other, so that their shuffles don't stand on disk together."""
+    return [written(make(k), name) for k in range(SLICES)]
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -187,10 +186,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
         shared = part.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
         return part.join(shared, "name").select("doc_id", "text_hash", F.expr("shiftleft(cast(first as bigint), 32) | last").alias("span"))
 
-    spans = _in_slices(revealed, "spans")
+    parts = _in_slices(revealed, "spans")
     dropped(runs)
-    spans = spans.groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("spans")).join(firsts, ["doc_id", "text_hash"])
-    found = keyed.join(written(spans, "spans"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "number"]).select("doc_id", "number", "text", "spans")
+    spans = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"))
+    grouped = written(spans.join(firsts, ["doc_id", "text_hash"]), "spans")
+    for part in parts:
+        dropped(part)
+    found = keyed.join(grouped, ["doc_id", "text_hash"]).select("doc_id", "number", "text", "spans")
     hashed = written(found.mapInArrow(_hashes(window), "doc_id long, place long, h1 long, h2 long"), "windows")
 
     def verified(k: int) -> DataFrame:
@@ -198,9 +200,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
         lowest = part.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
         return part.join(lowest, ["h1", "h2"]).where("doc_id > low").select("doc_id", "place")
 
-    late = _in_slices(verified, "late")
+    late = reduce(DataFrame.unionByName, _in_slices(verified, "late"))
     dropped(hashed)
-    late = late.groupBy("doc_id", F.expr("shiftright(place, 32)").alias("number")).agg(F.collect_list(F.expr("cast(place & 4294967295L as int)")).alias("starts"))
+    dropped(grouped)
+    late = late.groupBy("doc_id", F.expr("shiftright(place, 32)").alias("number")).agg(F.collect_set(F.expr("cast(place & 4294967295L as int)")).alias("starts"))
     starts = late.join(firsts, ["doc_id", "number"]).select("doc_id", "text_hash", "starts", F.lit(False).alias("whole"))
     return starts.unionByName(copies.select("doc_id", "text_hash", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
 
