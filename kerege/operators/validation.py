@@ -2,6 +2,9 @@
 
 Input everywhere: documents (doc_id, fields map<string,string>, raw_text). Each document is one row from start to results, so nothing moves
 between tasks until results are grouped.
+
+Items are taken apart by outer explodes and then filtered: for a plain explode the optimizer infers a filter on the array's size and
+pushes it below every projection, where each step's expressions are written out again inside the next one's.
 """
 
 from __future__ import annotations
@@ -196,10 +199,10 @@ def priority(code: Column) -> Column:
 def results(items: DataFrame, show_values: bool = True) -> DataFrame:
     """doc_id, ord, code, level, message, value: items sorted by priority, code and the rules' order; ord counts from 0."""
     scored = F.transform("items", lambda x, k: F.struct(priority(x["code"]).alias("priority"), x["code"].alias("code"), k.alias("k"), F.upper(x["level"]).alias("level"), message(x, show_values).alias("message"), x["value"].alias("value")))
-    return items.select("doc_id", F.posexplode(F.array_sort(scored)).alias("ord", "x")).select("doc_id", "ord", "x.code", "x.level", "x.message", "x.value")
+    return items.select("doc_id", F.posexplode_outer(F.array_sort(scored)).alias("ord", "x")).where("x is not null").select("doc_id", "ord", "x.code", "x.level", "x.message", "x.value")
 
 
 def rule_items(docs: DataFrame, code: str, as_of: str | None = None) -> DataFrame:
     """doc_id, level, value of one rule's items."""
     names = [r for r in RULES if r.startswith(code)]
-    return checked(docs, as_of, names).select("doc_id", F.explode("items").alias("x")).select("doc_id", "x.level", "x.value")
+    return checked(docs, as_of, names).select("doc_id", F.explode_outer("items").alias("x")).where("x is not null").select("doc_id", "x.level", "x.value")
