@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerege.llm import near_copies
 from kerege.llm._common import LOWER, written
 from kerege.llm._graph import connected_components
 from kerege.shipping import ship_package
@@ -205,14 +206,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     return rows.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id; all columns stay.
+def deduplicated(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near copies: that of the smallest doc_id; all columns stay.
 
-    Rows that repeat a kept doc_id count as copies and one of them stays. Rows without doc_id can't be named and stay.
+    Near copies are texts with a Jaccard similarity of their shingles of at least `similarity`; op1's digest and radius, which reach
+    about 0.95 alone, don't count here. Rows that repeat a kept doc_id count as copies and one of them stays. Rows without
+    doc_id can't be named and stay.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs.doc_id == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    return near_copies.representatives(docs, shingle, similarity, by=("__doc_id",)).unionByName(docs.where("doc_id is null"))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
