@@ -206,14 +206,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     return rows.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY, each_text: bool = False) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest doc_id; all columns stay.
 
     Near copies are texts with a Jaccard similarity of their shingles of at least `similarity`; op1's digest and radius, which reach
-    about 0.95 alone, don't count here. Rows that repeat a kept doc_id count as copies and one of them stays. Rows without
-    doc_id can't be named and stay.
+    about 0.95 alone, don't count here. Rows that repeat a kept doc_id count as copies and one of them stays, in a fixed order; with
+    each_text only where their words are the same, so that other texts of the same doc_id stay if they stand for their own
+    groups. Rows without doc_id can't be named and stay.
     """
-    return near_copies.representatives(docs, shingle, similarity, by=("__doc_id",)).unionByName(docs.where("doc_id is null"))
+    by = ("__doc_id", "__id") if each_text else ("__doc_id",)
+    return near_copies.representatives(docs, shingle, similarity, by=by).unionByName(docs.where("doc_id is null"))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
