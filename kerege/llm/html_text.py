@@ -1,9 +1,10 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page's tags are read once, from left to right; block-level tags cut its text into flat blocks. A block is described by its words and link
-density, by those of the blocks before and after it, and by two facts of its place: whether an article encloses it, and whether a
-container does that holds no running text by its name (menus, footers, forms, adverts, comments ...). A decision tree, grown
-here on the small table LABELLED, keeps or drops each block.
+A page's tags are read once, from left to right; block-level tags cut its text into flat blocks. A block is described by its words and its link
+density, by those of the blocks before and after it, and, weaker, by its markup: whether it is a paragraph (or list item, cell ...) or a heading, and
+whether a container encloses it that holds no running text by its name (menus, footers, forms, adverts, comments ...). A decision tree, grown
+here on the small table PAGES of labelled blocks, keeps or drops each block. PAGES has each layout with named and with unnamed containers, so that the
+tree has to tell most blocks by words and links.
 """
 
 from __future__ import annotations
@@ -19,38 +20,48 @@ from pyspark.sql import functions as F
 
 from kerege.shipping import ship_package
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "aside")
-
-#: Labelled blocks: words, link density; those of the block before; of the block after; in an article; in a container without running text; main text?
-LABELLED = (
-    # articles: headlines, long and short paragraphs, list items, quotes with links, first and last blocks
-    (9, 0, 3, 1, 80, 0, 1, 0, 1), (7, 0, 5, 0, 40, 0, 1, 0, 1), (1, 0, 12, 0, 90, 0, 1, 0, 1), (4, 0, 0, 0, 4, 0, 1, 0, 1),
-    (80, 0, 9, 0, 60, 0, 1, 0, 1), (60, 0.05, 80, 0, 30, 0, 1, 0, 1), (35, 0.2, 60, 0, 5, 0, 1, 0, 1), (5, 0, 35, 0, 50, 0, 1, 0, 1),
-    (1, 0, 50, 0, 70, 0, 1, 0, 1), (2, 0, 90, 0, 2, 0, 1, 0, 1), (120, 0.02, 5, 0, 20, 0, 1, 0, 1), (20, 0, 120, 0, 18, 0.1, 1, 0, 1),
-    (6, 0, 30, 0, 6, 0, 1, 0, 1), (8, 0.3, 6, 0, 8, 0, 1, 0, 1), (3, 0, 40, 0, 25, 0, 1, 0, 1), (200, 0, 1, 0, 150, 0, 1, 0, 1),
-    (15, 0.1, 40, 0, 10, 1, 1, 0, 1), (10, 0, 25, 0, 12, 0, 1, 0, 1),
-    (1, 0, 4, 0, 11, 0, 1, 0, 1), (2, 0, 7, 0, 6, 1, 1, 0, 1), (1, 0, 2, 1, 1, 0, 1, 0, 1), (3, 0, 1, 0, 0, 0, 1, 0, 1), (5, 0, 6, 0, 7, 0, 1, 0, 1),
-    (6, 0.4, 3, 0, 5, 0, 1, 0, 1), (4, 0.5, 8, 0, 15, 0.1, 1, 0, 1), (9, 0, 1, 0, 3, 1, 1, 0, 1), (12, 0, 6, 1, 9, 1, 1, 0, 1), (30, 0.3, 2, 0, 4, 0, 1, 0, 1),
-    # inside articles, but not their text: rows of links, adverts, share bars, asides, forms, comments
-    (3, 1, 40, 0, 3, 1, 1, 0, 0), (5, 1, 3, 1, 4, 1, 1, 0, 0), (12, 0.95, 30, 0, 9, 1, 1, 0, 0), (2, 1, 60, 0, 10, 0, 1, 0, 0),
-    (25, 0, 60, 0, 40, 0, 1, 1, 0), (4, 0, 80, 0, 90, 0, 1, 1, 0), (50, 0, 20, 0, 45, 0, 1, 1, 0), (30, 0.1, 70, 0, 3, 0, 1, 1, 0),
-    (10, 0, 70, 0, 30, 0, 1, 1, 0), (70, 0, 5, 0, 60, 0, 1, 1, 0),
-    # outside articles: menus, adverts, notices, footers, sidebars, comments
-    (1, 1, 0, 0, 1, 1, 0, 1, 0), (1, 1, 1, 1, 1, 1, 0, 1, 0), (2, 1, 1, 1, 6, 0, 0, 1, 0), (6, 0, 1, 1, 9, 0, 0, 1, 0),
-    (12, 0, 1, 1, 10, 0, 0, 1, 0), (40, 0, 90, 0, 30, 0, 0, 1, 0), (25, 0.2, 60, 0, 0, 0, 0, 1, 0), (15, 0, 2, 0, 0, 0, 0, 1, 0),
-    (90, 0.05, 30, 0, 80, 0, 0, 1, 0), (60, 0, 90, 0, 5, 0, 0, 1, 0), (3, 0, 60, 0, 40, 0, 0, 1, 0),
-    # outside articles and named containers: pages without an article element
-    (70, 0, 8, 0, 60, 0, 0, 0, 1), (60, 0.1, 70, 0, 40, 0.1, 0, 0, 1), (40, 0.05, 60, 0, 25, 0, 0, 0, 1), (120, 0, 2, 1, 3, 1, 0, 0, 1),
-    (25, 0, 40, 0, 50, 0.1, 0, 0, 1), (18, 0, 60, 0, 70, 0, 0, 0, 1), (8, 0, 50, 0, 90, 0, 0, 0, 1), (9, 0, 60, 0, 45, 0.2, 0, 0, 1),
-    (27, 0, 28, 0, 1, 1, 0, 0, 1), (27, 0, 2, 1, 28, 0, 0, 0, 1), (35, 0.1, 50, 0, 4, 1, 0, 0, 1), (50, 0, 40, 0, 0, 0, 0, 0, 1), (22, 0, 25, 0, 3, 1, 0, 0, 1),
-    (4, 0, 3, 1, 5, 1, 0, 0, 0), (3, 1, 4, 1, 2, 1, 0, 0, 0), (8, 0.8, 3, 1, 6, 1, 0, 0, 0), (30, 0.9, 20, 0.9, 15, 1, 0, 0, 0),
-    (6, 0, 5, 1, 4, 0.5, 0, 0, 0), (5, 0, 2, 0, 3, 0, 0, 0, 0), (10, 0.6, 60, 0, 8, 1, 0, 0, 0), (7, 0, 8, 1, 0, 0, 0, 0, 0),
-    (12, 0.7, 90, 0, 12, 0.7, 0, 0, 0), (3, 0.5, 50, 0, 60, 0, 0, 0, 0),
-)
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "paragraph", "heading", "aside")
+#: The first of them are of words and links, the others of markup.
+TEXT_FEATURES = 6
+
+_MENU = tuple((1, 1, "p", True, False) for _ in range(4))
+#: Labelled blocks of pages, in page order: words, words in links, kind (p: paragraph, list item, cell; h: heading; -: neither), in a container that holds no
+#: running text (its name is forgotten in the second copy of each page), main text?
+PAGES = (
+    # news pages: menu, advert, headline, paragraphs long and short, footer
+    (*_MENU, (6, 0, "-", True, False), (9, 0, "h", False, True), (80, 0, "p", False, True), (35, 2, "p", False, True), (5, 0, "p", False, True), (120, 0, "p", False, True), (2, 0, "p", False, True), (16, 0, "-", True, False)),
+    (*_MENU, (14, 0, "-", True, False), (1, 0, "h", False, True), (1, 0, "p", False, True), (30, 0, "p", False, True), (1, 0, "p", False, True), (11, 0, "-", True, False)),
+    (*_MENU, (3, 0, "-", True, False), (38, 0, "h", False, True), (210, 0, "p", False, True), (24, 0, "-", True, False)),
+    (*_MENU, (22, 0, "-", True, False), (12, 0, "h", False, True), (12, 0, "p", False, True), (18, 0, "-", True, False)),
+    (*_MENU, (9, 0, "-", True, False), (4, 0, "h", False, True), (7, 0, "p", False, True), (9, 0, "p", False, True), (3, 0, "p", False, True), (60, 0, "p", False, True), (33, 0, "-", True, False)),
+    (*_MENU, (30, 0, "-", True, False), (5, 0, "h", False, True), (45, 0, "p", False, True), (6, 0, "-", True, False)),
+    # a notice on top, linked site title, sections with headings and lists, related links, share bar
+    ((12, 1, "-", True, False), (2, 2, "h", True, False), *_MENU, (8, 0, "h", False, True), (55, 6, "p", False, True), (3, 0, "h", False, True), (4, 0, "p", False, True), (6, 0, "p", False, True), (3, 1, "p", False, True), (70, 0, "p", False, True), (2, 0, "h", True, False), (7, 7, "p", True, False), (6, 6, "p", True, False), (4, 4, "-", True, False), (10, 3, "-", True, False)),
+    # text in plain boxes without paragraphs
+    (*_MENU, (50, 0, "-", False, True), (40, 3, "-", False, True), (90, 0, "-", False, True), (3, 3, "-", True, False), (12, 2, "-", True, False)),
+    ((2, 2, "-", True, False), (1, 1, "-", True, False), (28, 0, "-", False, True), (30, 0, "-", False, True), (27, 0, "-", False, True), (1, 1, "-", True, False)),
+    # pages that end with their text; bare texts
+    (*_MENU, (7, 0, "h", False, True), (40, 0, "p", False, True), (9, 0, "p", False, True)),
+    (*_MENU, (6, 0, "h", False, True), (90, 4, "p", False, True), (26, 0, "p", False, True), (2, 0, "p", False, True)),
+    ((5, 0, "h", False, True), (15, 0, "p", False, True)),
+    ((150, 0, "p", False, True),),
+    ((12, 0, "p", False, True),),
+    ((300, 0, "-", False, True),),
+    ((60, 0, "-", False, True), (80, 0, "-", False, True), (45, 0, "-", False, True)),
+    # long link lists and tables of contents
+    (*_MENU, (12, 11, "p", True, False), (9, 9, "p", True, False), (25, 22, "p", True, False), (14, 0, "h", False, True), (65, 8, "p", False, True), (5, 5, "p", True, False), (75, 9, "p", False, True), (14, 13, "-", True, False), (8, 4, "-", True, False)),
+)
+#: Blocks that only their container's name tells: an advert, a form, a box with other news, readers' comments, a sidebar.
+NAMED = (
+    ((40, 0, "p", False, True), (25, 0, "-", True, False), (60, 0, "p", False, True), (4, 0, "p", True, False), (30, 0, "p", False, True), (12, 0, "p", True, False), (6, 0, "h", True, False), (18, 0, "p", True, False), (90, 5, "p", True, False)),
+    ((70, 0, "p", False, True), (15, 0, "p", True, False), (2, 0, "h", True, False), (8, 0, "p", True, False), (60, 0, "p", True, False), (1, 0, "p", True, False)),
+)
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _ASIDE = frozenset("aside button datalist dialog fieldset footer form label legend menu nav object option select textarea".split())
 _HEADER = frozenset(("header", "hgroup"))
+_PARAGRAPH = frozenset("p li dd dt td th blockquote pre figcaption caption".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = "script|style|noscript|template|title|textarea|select|iframe|object|svg|math|canvas|audio|video"
 _NAMES = "ad|ads|adv|advert\\w*|promo\\w*|sponsor\\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\\w*|signup|sidebar|side|rail|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|toolbar|share|sharing|social|related|recommend\\w*|comments?|commentlist|repl(?:y|ies)|respond|disqus|login|search|pagination|pager|widget|skip|hidden|copyright|legal|disclaimer|contentinfo|complementary|dialog"
@@ -77,77 +88,84 @@ def _place(name: str, attributes: str) -> tuple[bool, bool, bool]:
     return name in ("article", "main"), aside, header
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """Flat text blocks in page order: text, words, words in links, in an article, in a container without running text."""
-    out: list[tuple[str, int, int, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, int, str, bool]]:
+    """Flat text blocks in page order: text, words, words in links, kind (p, h or -), in a container without running text."""
+    out: list[tuple[str, int, int, str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []
-    article = aside = links = 0
+    article = aside = depth = 0
+    kind, in_p, link = "-", False, None  # of a link: how many blocks were open where it began, and whether in a paragraph or heading
     parts: list[tuple[str, bool]] = []
 
     def end() -> None:
         text = " ".join(html.unescape("".join([p for p, _ in parts])).split())
         if text:
             linked = sum([len(html.unescape(p).split()) for p, in_link in parts if in_link])
-            out.append((text, len(text.split()), linked, article > 0, aside > 0))
+            out.append((text, len(text.split()), linked, kind, aside > 0))
         parts.clear()
 
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            parts.append((page[at : m.start()], links > 0))
+            parts.append((page[at : m.start()], link is not None))
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
             continue
-        if name in _BLOCK:
+        is_block = name in _BLOCK
+        if is_block:
             end()
+            depth += (-1 if m[2] else 1) if name != "p" and name not in _VOID else 0
+            if link and (link[1] or depth < link[0]):  # an unclosed link ends with its block
+                link = None
+            in_p = name == "p" and not m[2]
+            kind = "-" if m[2] else "p" if name in _PARAGRAPH else "h" if name in _HEADING else "-"
         elif name == "br":
             parts.append((" ", False))
         if name in _VOID:
             continue
         if not m[2]:
             if name == "a":
-                links = 1
-            elif m[4].endswith("/") and name not in _BLOCK:
+                link = (depth, kind == "h" or in_p)
+            elif m[4].endswith("/") and not is_block:
                 continue
-            is_article, is_aside, is_header = _place(name, m[4]) if name in _BLOCK or name in _ASIDE or m[4] else (False, False, False)
+            is_article, is_aside, is_header = _place(name, m[4]) if is_block or name in _ASIDE or m[4] else (False, False, False)
             is_aside = is_aside or (is_header and not article)  # an article's own header holds its headline
             if is_article or is_aside or name in ("div", "section", "ul", "ol", "li", "table", "td", "span", "header"):
-                if is_aside != (aside > 0) and name not in _BLOCK and is_aside:
+                if is_aside != (aside > 0) and not is_block and is_aside:
                     end()
                 stack.append((name, is_article, is_aside))
                 article, aside = article + is_article, aside + is_aside
         elif name == "a":
-            links = 0
+            link = None
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if any(x[2] for x in stack[k:]) and name not in _BLOCK:
+                    if any(x[2] for x in stack[k:]) and not is_block:
                         end()
                     for _, was_article, was_aside in stack[k:]:
                         article, aside = article - was_article, aside - was_aside
                     del stack[k:]
                     break
     if at < len(page):
-        parts.append((page[at:], links > 0))
+        parts.append((page[at:], link is not None))
     end()
     return out
 
 
-def features(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
-    """A row of FEATURES for each block."""
-    words = np.array([b[1] for b in found], np.float64)
-    links = np.array([b[2] for b in found], np.float64) / np.maximum(words, 1)
+def features(found: list[tuple[int, int, str, bool]]) -> np.ndarray:
+    """A row of FEATURES for each block (words, words in links, kind, in a container without running text) of a page."""
+    words = np.array([b[0] for b in found], np.float64)
+    links = np.array([b[1] for b in found], np.float64) / np.maximum(words, 1)
     before = lambda x: np.concatenate(([0], x[:-1]))
     after = lambda x: np.concatenate((x[1:], [0]))
-    places = [np.array([b[k] for b in found], np.float64) for k in (3, 4)]
-    return np.stack([words, links, before(words), before(links), after(words), after(links), *places], 1)
+    marks = [np.array([b[2] == "p" for b in found], np.float64), np.array([b[2] == "h" for b in found], np.float64), np.array([b[3] for b in found], np.float64)]
+    return np.stack([words, links, before(words), before(links), after(words), after(links), *marks], 1)
 
 
 class Tree:
-    """A classification tree by Gini impurity; grown whole, as its table is small and consistent."""
+    """A classification tree by Gini impurity; grown whole, as its table is small and consistent. A markup feature must leave under half the impurity of any other."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12):
         self.share = float(y.mean())
         self.feature = None
         if depth and 0 < self.share < 1:
@@ -157,7 +175,7 @@ class Tree:
                 for cut in (values[1:] + values[:-1]) / 2:
                     left = x[:, k] <= cut
                     a, b = y[left], y[~left]
-                    cost = len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())
+                    cost = (len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())) * (2 if k >= TEXT_FEATURES else 1)
                     if best is None or cost < best[0] - 1e-12:
                         best = (cost, k, cut, left)
             if best:
@@ -173,9 +191,14 @@ class Tree:
         return out
 
 
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of PAGES, with and without the names of their containers, and of NAMED."""
+    pages = [*PAGES, *[tuple((*b[:3], False, b[4]) for b in page) for page in PAGES], *NAMED]
+    return np.concatenate([features([b[:4] for b in page]) for page in pages]), np.array([b[4] for page in pages for b in page], np.float64)
+
+
 def grown() -> Tree:
-    table = np.array(LABELLED, np.float64)
-    return Tree(table[:, :-1], table[:, -1])
+    return Tree(*labelled())
 
 
 def extract(page: str | None, tree: Tree) -> str:
@@ -183,7 +206,7 @@ def extract(page: str | None, tree: Tree) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    keep = tree.predict(features(found))
+    keep = tree.predict(features([b[1:] for b in found]))
     return "\n\n".join([b[0] for b, k in zip(found, keep, strict=True) if k])
 
 

@@ -14,10 +14,28 @@ def tree():
 
 
 def test_the_tree_agrees_with_its_table(tree):
-    import numpy as np
+    x, y = html_text.labelled()
+    assert (tree.predict(x) == (y > 0.5)).all()
 
-    table = np.array(html_text.LABELLED, float)
-    assert (tree.predict(table[:, :-1]) == (table[:, -1] > 0.5)).all()
+
+def used(tree):
+    return set() if tree.feature is None else {html_text.FEATURES[tree.feature]} | used(tree.low) | used(tree.high)
+
+
+def test_the_tree_looks_at_neighbours(tree):
+    assert {"words", "links", "links_before", "words_after", "links_after"} <= used(tree) and html_text.FEATURES[tree.feature] in html_text.FEATURES[:6]
+
+
+def test_unclosed_links_end_with_their_block(tree):
+    long = "This is a longer paragraph of running text that tells the reader what has happened in the town on that day."
+    found = html_text.blocks(f"<p><a href='x'>Read more<p>{long}</p><div><a>here</div><p>{long}</p><a href='y'><div>card</div></a>")
+    assert [(b[1], b[2]) for b in found] == [(2, 2), (21, 0), (1, 1), (21, 0), (1, 1)]
+
+
+def test_page_that_ends_with_its_text(tree):
+    long = "This is a longer paragraph of running text that tells the reader what has happened in the town on that day."
+    assert html_text.extract(f"<article><h1>News of it</h1><p>{long}</p><p>{long}</p></article>", tree) == f"News of it\n\n{long}\n\n{long}"
+    assert html_text.extract(f"<p>{long}</p>", tree) == long
 
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><article>";</script></head><body>
@@ -54,12 +72,28 @@ def test_rows(spark):
     assert html_text.main_text(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_query_gives_the_articles(spark, sf):
+def main_texts(page):
     """In these pages the text is what the article element encloses."""
+    article = re.search("<article>(.*)</article>", page, re.S)[1]
+    parts = [" ".join(html.unescape(re.sub("<[^>]*>", " " if x.startswith("<br") else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article.replace("<br>", " ").replace("<b>", ""))]
+    return [p for p in parts if p]
+
+
+def test_query_gives_the_articles(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = html_text.op8_text_blocks(spark, sf).collect()
     assert len(got) == len(pages)
     for r in got:
-        article = re.search("<article>(.*)</article>", pages[r.page_id], re.S)[1]
-        parts = [" ".join(html.unescape(re.sub("<[^>]*>", " " if x.startswith("<br") else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article.replace("<br>", " ").replace("<b>", ""))]
-        assert r.text == "\n\n".join(p for p in parts if p)
+        assert r.text == "\n\n".join(main_texts(pages[r.page_id]))
+
+
+def test_pages_without_an_article_element_or_named_containers(spark, sf, tree):
+    wanted = kept = more = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        bare = r.html
+        for name in ("article", "nav", "footer"):
+            bare = bare.replace(f"<{name}>", "<div>").replace(f"</{name}>", "</div>")
+        found = html_text.extract(bare.replace(' class="ad"', ""), tree).split("\n\n")
+        want = main_texts(r.html)
+        wanted, kept, more = wanted + len(want), kept + len(set(want) & set(found)), more + len(set(found) - set(want))
+    assert kept >= 0.95 * wanted and more < 0.02 * wanted
