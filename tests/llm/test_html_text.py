@@ -95,5 +95,5 @@ def test_pages_without_an_article_element_or_named_containers(spark, sf, tree):
             bare = bare.replace(f"<{name}>", "<div>").replace(f"</{name}>", "</div>")
         found = html_text.extract(bare.replace(' class="ad"', ""), tree).split("\n\n")
         want = main_texts(r.html)
-        wanted, kept, more = wanted + len(want), kept + len(set(want) & set(found)), more + len(set(found) - set(want))
-    assert kept >= 0.95 * wanted and more < 0.02 * wanted
+        wanted, kept, more = wanted + len(set(want)), kept + len(set(want) & set(found)), more + len(set(found) - set(want))
+    assert kept >= 0.95 * wanted and more < 0.02 * wanted, (kept, more, wanted)
