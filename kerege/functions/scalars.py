@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,9 +19,18 @@ KEY_WORDS = (("№", "номер"), ("иин/бин", "бин"), ("бин/иин
 _GAPS = "   '’‘"
 
 
+#: Characters that count as white space at the ends of a value.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(_SPACES))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def clean_text(text: Column) -> Column:
@@ -43,9 +54,8 @@ def only_digits(text: Column) -> Column:
 def parse_number(text: Column) -> Column:
     """A double, null if the text isn't a numeral; comma is the point, gaps and apostrophes are dropped."""
     plain = stripped(F.replace(F.translate(text, _GAPS, ""), F.lit(","), F.lit(".")))
-    special = F.lower(F.regexp_replace(plain, r"^\+", ""))
-    special = F.when(special.contains("nan"), F.lit("NaN")).when(special.startswith("-"), F.lit("-Infinity")).otherwise(F.lit("Infinity"))
-    return F.when(plain.rlike(_NUMERAL), F.replace(plain, F.lit("_"), F.lit("")).try_cast("double")).when(plain.rlike(_SPECIAL), special.cast("double"))
+    special = lambda x: F.when(x.contains("nan"), F.lit("NaN")).when(x.startswith("-"), F.lit("-Infinity")).otherwise(F.lit("Infinity")).cast("double")
+    return bound(plain, lambda x: F.when(x.rlike(_NUMERAL), F.replace(x, F.lit("_"), F.lit("")).try_cast("double")).when(x.rlike(_SPECIAL), special(F.lower(x))))
 
 
 def is_strict_bin(text: Column) -> Column:
@@ -61,10 +71,14 @@ def is_bin(text: Column) -> Column:
 
 def checksum_holds(text: Column) -> Column:
     """The mod-11 check digit of a 12-digit number: weights from 1, and from 3 where those give 10; false for other lengths."""
-    digits = only_digits(text)
-    weighted = lambda first: F.aggregate(F.sequence(F.lit(1), F.lit(11)), F.lit(0), lambda a, i: a + F.coalesce(F.substr(digits, i, F.lit(1)).try_cast("int"), F.lit(0)) * (i + (first - 1))) % 11
-    control = F.substr(digits, F.lit(12), F.lit(1)).try_cast("int")
-    return F.coalesce((F.length(digits) == 12) & (F.when(weighted(1) != 10, weighted(1)).otherwise(weighted(3)) == control), F.lit(False))
+    return number_holds(F.when(F.length(only_digits(text)) == 12, only_digits(text).try_cast("bigint")))
+
+
+def number_holds(number: Column) -> Column:
+    """checksum_holds of a number as a long; false for null. Digits are told by division, which stays in generated code."""
+    at = lambda k: F.call_function("div", number, F.lit(10 ** (12 - k))) % 10
+    weighted = lambda first: sum((at(k) * (k + first - 1) for k in range(2, 12)), at(1) * first) % 11
+    return F.coalesce(F.when(weighted(1) != 10, weighted(1)).otherwise(weighted(3)) == at(12), F.lit(False))
 
 
 def parse_date_exact(text: Column) -> Column:
@@ -84,21 +98,28 @@ def _made(year: Column, month: Column, day: Column) -> Column:
     return F.try_make_timestamp(year.try_cast("int"), month.try_cast("int"), day.try_cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
 
+def _made_of(year: int, month: int, day: int) -> Callable[[Column], Column]:
+    return lambda parts: _made(F.get(parts, year), F.get(parts, month), F.get(parts, day))
+
+
 def month_number(name: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, fixed.MONTHS)), F.lower(name)).cast("int")
 
 
 def parse_date_found(text: Column) -> Column:
     """The first date in a text: four numeric orders, then a day, a month's Russian name and a year."""
-    plain = clean_text(text)
-    out = []
-    for pattern, (y, m, d) in ((r"(\d{4})-(\d{1,2})-(\d{1,2})", (1, 2, 3)), (r"(\d{1,2})\.(\d{1,2})\.(\d{4})", (3, 2, 1)), (r"(\d{1,2})/(\d{1,2})/(\d{4})", (3, 2, 1)), (r"(\d{4})/(\d{1,2})/(\d{1,2})", (1, 2, 3))):
-        part = [F.regexp_extract(plain, pattern, k) for k in (y, m, d)]
-        out.append(_made(*part))
-    low = F.lower(plain)
     named = r'(?uU)(?:\bот\s+)?[«"]?(\d{1,2})[»"]?\s+(' + "|".join(fixed.MONTHS) + r")\s+(\d{4})"
-    out.append(_made(F.regexp_extract(low, named, 3), month_number(F.regexp_extract(low, named, 2)), F.regexp_extract(low, named, 1)))
-    return F.coalesce(*out)
+
+    def found(plain: Column) -> Column:
+        out = []
+        for pattern, sep, (y, m, d) in ((r"\d{4}-\d{1,2}-\d{1,2}", "-", (1, 2, 3)), (r"\d{1,2}\.\d{1,2}\.\d{4}", r"\.", (3, 2, 1)), (r"\d{1,2}/\d{1,2}/\d{4}", "/", (3, 2, 1)), (r"\d{4}/\d{1,2}/\d{1,2}", "/", (1, 2, 3))):
+            parts = F.split(F.regexp_extract(plain, pattern, 0), sep)
+            out.append(bound(parts, _made_of(y - 1, m - 1, d - 1)))
+        low = F.lower(plain)
+        long = F.when(low.rlike(named), _made(F.regexp_extract(low, named, 3), month_number(F.regexp_extract(low, named, 2)), F.regexp_extract(low, named, 1)))
+        return F.when(plain.rlike(r"\d{4}"), F.coalesce(*out, long))
+
+    return bound(clean_text(text), found)
 
 
 def excel_date(serial: Column) -> Column:
@@ -136,22 +157,21 @@ def plain_key(text: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^\w\s]+", " ", key)).strip()
 
 
-def _agree(a: Column, b: Column):
-    return lambda i: F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))
-
+def header_similarity(key: Column, aliases: list[str], at_least: float = 0.0) -> Column:
+    """Share of places at which a header's key (made by clean_key, as a column of its own) has the alias's character; the best alias counts.
 
-def header_similarity(key: Column, aliases: list[str]) -> Column:
-    """Share of places at which a header's key (made by clean_key, as a column of its own) has the alias's character; the best alias counts."""
+    Shares under at_least may come out as 0: aliases that are too long or too short for it aren't compared.
+    """
     if not aliases:
         return F.lit(0.0)
-    out = []
+    out, n = [], F.length(key)
     for alias in map(plain_key, aliases):
-        other = F.lit(alias)
-        n = F.least(F.length(key), F.length(other))
-        places = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        same = F.size(F.filter(places, _agree(key, other)))
-        out.append(F.when(key == other, F.lit(1.0)).otherwise(same / F.greatest(F.length(key), F.length(other), F.lit(1))))
-    return F.array_max(F.array(*out))
+        same = sum((F.when(F.substring(key, k + 1, 1) == c, 1).otherwise(0) for k, c in enumerate(alias)), F.lit(0))
+        share = F.when(key == alias, F.lit(1.0)).otherwise(same / F.greatest(n, F.lit(max(1, len(alias)))))
+        if at_least > 0:
+            share = F.when(n.between(math.ceil(at_least * len(alias)), math.floor(len(alias) / at_least)), share).otherwise(F.lit(0.0))
+        out.append(share)
+    return F.greatest(*out, F.lit(0.0))
 
 
 def cyrillic_count(text: Column) -> Column:

@@ -82,10 +82,10 @@ def cell_dates(cells: DataFrame, kind: str = "issue_date") -> DataFrame:
     """doc_id, issue_date (ISO): the first date in reading order beside or under a like header, or in a cell that names an invoice."""
     dated = cells.select("doc_id", "r", "c", "v", parse_date_found(F.col("v")).alias("day")).where("day is not null")
     beside = neighbours(dated, cells, [(0, -1), (-1, 0)]).withColumn("key", clean_key(F.col("v2")))
-    alike = lambda name: F.max(header_similarity(F.col("key"), fixed.HEADER_ALIASES[name]))
+    alike = lambda name: F.max(header_similarity(F.col("key"), fixed.HEADER_ALIASES[name], DATE_SHARE))
     scores = beside.groupBy("doc_id", "r", "c").agg(alike("issue_date").alias("issue"), alike("turnover_date").alias("turnover"))
     rows = dated.join(scores, ["doc_id", "r", "c"], "left").fillna(0.0, ["issue", "turnover"]).withColumn("key", clean_key(F.col("v")))
-    own = (header_similarity(F.col("key"), fixed.HEADER_ALIASES["issue_date"]) >= DATE_SHARE) | has_token(F.col("key"), fixed.INVOICE_WORDS)
+    own = (header_similarity(F.col("key"), fixed.HEADER_ALIASES["issue_date"], DATE_SHARE) >= DATE_SHARE) | has_token(F.col("key"), fixed.INVOICE_WORDS)
     hit = (F.col("issue") >= DATE_SHARE) | ((F.col("turnover") < DATE_SHARE) & own) if kind == "issue_date" else F.col("turnover") >= DATE_SHARE
     return rows.where(hit).groupBy("doc_id").agg(F.date_format(F.min_by("day", F.struct("r", "c")), "yyyy-MM-dd").alias(kind))
 
@@ -96,19 +96,22 @@ def cell_totals(cells: DataFrame, prefer: str = "gross") -> DataFrame:
     A kind total_amount comes last: the preferred kind's number, else the gross one, else that of its own label.
     """
     kinds = [k for k in fixed.HEADER_ALIASES if k.startswith("total")]
-    keyed = cells.withColumn("key", clean_key(F.col("v"))).where("key <> ''")
-    tagged = keyed.withColumn("kind", F.explode(F.array_compact(F.array(*[F.when(header_similarity(F.col("key"), fixed.HEADER_ALIASES[k]) >= HEADER_SHARE, k) for k in kinds])))).drop("key")
+    # aliases hold letters in all but a few places, so cells without a letter are no labels
+    keyed = cells.where(F.col("v").rlike(r"\p{L}")).select("doc_id", "r", "c", clean_key(F.col("v")).alias("key"))
+    tagged = keyed.withColumn("kind", F.explode(F.array_compact(F.array(*[F.when(header_similarity(F.col("key"), fixed.HEADER_ALIASES[k], HEADER_SHARE) >= HEADER_SHARE, k) for k in kinds])))).drop("key")
     raw = F.replace(F.replace(F.regexp_extract(F.lower(clean_text(F.col("v2"))), r"(-?\d[\d\s,.]*)", 1), F.lit(" "), F.lit("")), F.lit(","), F.lit("."))
     near = neighbours(tagged, cells, _NUMBER_OFFSETS).withColumn("amount", raw.try_cast("double")).where("amount is not null")
-    first = near.groupBy("doc_id", "kind", "r", "c").agg(F.min_by(F.struct("amount", "r2", "c2"), "k").alias("x"))
+    # the labels' few neighbours move once, by document; the three aggregations then stay where they are
+    first = near.repartition("doc_id").groupBy("doc_id", "kind", "r", "c").agg(F.min_by(F.struct("amount", "r2", "c2"), "k").alias("x"))
     last = first.groupBy("doc_id", "kind").agg(F.max_by("x", F.struct("r", "c")).alias("x"))
     name = F.when(F.col("kind") == "total_amount", "TOTAL").otherwise(F.upper("kind"))
-    found = last.select("doc_id", "kind", "x.amount", F.concat(name, F.lit("@R"), F.col("x.r2").cast("string"), F.lit("C"), F.col("x.c2").cast("string")).alias("trace"))
-    chosen = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("amount", "trace")))).alias("m"))
+    found = last.select("doc_id", "kind", F.struct("x.amount", F.concat(name, F.lit("@R"), F.col("x.r2").cast("string"), F.lit("C"), F.col("x.c2").cast("string")).alias("trace")).alias("x"))
+    chosen = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "x"))).alias("m"))  # as many as kinds at most
     order = [f"total_{prefer}"] if prefer in ("net", "vat") else []
     pick = F.coalesce(*[F.try_element_at("m", F.lit(k)) for k in [*order, "total_gross", "total_amount"]])
-    total = chosen.select("doc_id", F.lit("total_amount").alias("kind"), pick.alias("x")).where("x is not null").select("doc_id", "kind", "x.amount", "x.trace")
-    return found.where("kind <> 'total_amount'").unionByName(total)
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), (pick if k == "total_amount" else F.try_element_at("m", F.lit(k))).alias("x")) for k in kinds])
+    out = chosen.select("doc_id", F.explode_outer(rows).alias("y")).where("y.x is not null")
+    return out.select("doc_id", "y.kind", "y.x.amount", "y.x.trace")
 
 
 def sheet_documents(cells: DataFrame) -> DataFrame:

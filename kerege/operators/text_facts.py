@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kerege.functions import fixed
-from kerege.functions.scalars import looks_like_money, month_number, near_identifier, only_digits, parse_number, stripped
+from kerege.functions.scalars import bound, looks_like_money, month_number, near_identifier, only_digits, parse_number, stripped
 
 _FLAGS = "(?iuU)"
 #: Characters before and after a number in which a business number's name speaks against a total.
@@ -61,26 +61,33 @@ def preferred_total(text: Column) -> Column:
     return F.coalesce(*found, F.lit(""))
 
 
+#: What a money number is made of, and the first letters of total labels.
+_MONEY_CHARS = fixed.MONEY.strip("()+")
+_FIRST_LETTERS = "[" + "".join(sorted({x[0] for x in fixed.TOTAL_LABELS})) + "]"
+
+
 def scored_total(text: Column, gap: int = 140) -> Column:
-    """The best number near any label: separators count two, four digits one, then the larger number, then the later; else empty."""
-    labels = "(?:" + "|".join(fixed.TOTAL_LABELS) + ")"
+    """The best number near any label: separators count two, four digits one, then the larger number, then the later; else empty.
+
+    A label is tried where one of their first letters stands. A number in front of a label is tried from its first character alone and
+    never given back in part: from a later place, or with fewer characters, no label is reached that isn't reached so.
+    """
+    labels = f"(?={_FIRST_LETTERS})(?:" + "|".join(fixed.TOTAL_LABELS) + ")"
     gap = max(20, min(gap, 300))
-    shapes = (rf"{_FLAGS}{labels}\s*[:\-]?\s*[^\d\n\r]{{0,{gap}}}{fixed.MONEY}", rf"{_FLAGS}{fixed.MONEY}[^\d\n\r]{{0,{gap}}}{labels}")
-    candidates = []
-    for k, pattern in enumerate(shapes):
-        wholes, raws = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, 1))
+    shapes = (rf"{_FLAGS}{labels}\s*[:\-]?\s*[^\d\n\r]{{0,{gap}}}{fixed.MONEY}", rf"{_FLAGS}(?<!{_MONEY_CHARS})({_MONEY_CHARS}++)[^\d\n\r]{{0,{gap}}}{labels}")
+
+    def candidates(k: int) -> Column:
         # matches follow one another, so each one's place is the first of its words behind the one before
-        zipped = F.arrays_zip(_starts(text, wholes).alias("s"), wholes.alias("w"), raws.alias("x"))
-        candidates.append(F.transform(zipped, _placed(k)))
+        wholes, raws = (F.regexp_extract_all(text, F.lit(shapes[k]), F.lit(g)) for g in (0, 1))
+        return bound(F.struct(wholes.alias("w"), raws.alias("x")), lambda m: F.transform(F.arrays_zip(_starts(text, m["w"]).alias("s"), m["w"].alias("w"), m["x"].alias("x")), _placed(k)))
 
     def scored(z: Column) -> Column:
-        value = stripped(z["raw"])
-        score = F.when(value.rlike("[,.’']"), 2).otherwise(0) + F.when(F.length(only_digits(value)) >= 4, 1).otherwise(0)
-        good = looks_like_money(value) & _clear_of_identifiers(text, z["start"], F.length(z["raw"]))
-        return F.when(good & parse_number(value).isNotNull(), F.struct(score.alias("score"), parse_number(value).alias("number"), z["place"].alias("place"), value.alias("value")))
+        return bound(F.struct(stripped(z["raw"]).alias("value"), parse_number(z["raw"]).alias("number")), lambda y: F.when(good(z, y["value"]) & y["number"].isNotNull(), F.struct(score(y["value"]).alias("score"), y["number"].alias("number"), z["place"].alias("place"), y["value"].alias("value"))))
 
-    best = F.array_max(F.filter(F.transform(F.concat(*candidates), scored), lambda x: x.isNotNull()))
-    return F.coalesce(best["value"], F.lit(""))
+    score = lambda value: F.when(value.rlike("[,.’']"), 2).otherwise(0) + F.when(F.length(only_digits(value)) >= 4, 1).otherwise(0)
+    good = lambda z, value: looks_like_money(value) & _clear_of_identifiers(text, z["start"], F.length(z["raw"]))
+    best = F.array_max(F.filter(F.transform(F.concat(candidates(0), candidates(1)), scored), lambda x: x.isNotNull()))
+    return F.when(text.rlike(f"(?iu){_FIRST_LETTERS}"), F.coalesce(best["value"], F.lit(""))).otherwise(F.lit(""))
 
 
 def _placed(shape: int):

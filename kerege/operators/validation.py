@@ -15,41 +15,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerege.functions import fixed
-from kerege.functions.scalars import checksum_holds, esf_section, first_of, fix_mojibake, is_bin, parse_date_exact, parse_date_found, parse_number, stripped, to_iso
+from kerege.functions.scalars import bound, checksum_holds, esf_section, fix_mojibake, is_bin, parse_date_exact, parse_date_found, parse_number, stripped, to_iso
 from kerege.operators.text_facts import text_bin, text_date, text_total
 
 _Value = "struct<code:string,level:string,title:string,description:string,recommendation:string,value:string>"
 
 
-def normalized(docs: DataFrame) -> DataFrame:
-    """docs with the canonical fields, added where they are missing; the old names too; issue_date in ISO form if it can be read.
-
-    A field that is there but empty counts as there, except that dates are taken from the first filled source. All added
-    values come from the given map alone, so the map is rebuilt once and not step by step.
-    """
+def _sourced(docs: DataFrame) -> DataFrame:
+    """docs with __supplier, __buyer, __issue, __iso: what normalisation finds for the canonical fields."""
     given = docs.withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string,string>")))
-    has = lambda k: F.map_contains_key("fields", F.lit(k))
-    get = lambda k: F.coalesce(F.try_element_at("fields", F.lit(k)), F.lit(""))
-    there = lambda k: F.when(has(k), get(k))
+    there = lambda k: F.when(F.map_contains_key("fields", F.lit(k)), _given(k))
     given = given.withColumns(
         {
             "__supplier": F.coalesce(there("supplier_bin"), there("supplier_BIN")),
             "__buyer": F.coalesce(there("buyer_bin"), *[there(k) for k in fixed.BUYER_SOURCES]),
-            "__issue": F.coalesce(there("issue_date"), *[F.nullif(get(k), F.lit("")) for k in fixed.DATE_SOURCES]),
+            "__issue": F.coalesce(there("issue_date"), *[F.nullif(_given(k), F.lit("")) for k in fixed.DATE_SOURCES]),
         }
     )
-    given = given.withColumn("__iso", F.nullif(to_iso(parse_date_found(F.col("__issue"))), F.lit("")))
-    values = {
+    return given.withColumn("__iso", F.nullif(to_iso(parse_date_found(F.col("__issue"))), F.lit("")))
+
+
+def _given(key: str) -> Column:
+    return F.coalesce(F.try_element_at("fields", F.lit(key)), F.lit(""))
+
+
+def _canonical() -> dict[str, Column]:
+    """Fields that normalisation sets, over rows of _sourced; null for none."""
+    there = lambda k: F.when(F.map_contains_key("fields", F.lit(k)), _given(k))
+    return {
         "supplier_bin": F.col("__supplier"),
         "buyer_bin": F.col("__buyer"),
         "issue_date": F.coalesce("__iso", "__issue"),
         "supplier_BIN": F.coalesce(there("supplier_BIN"), F.nullif("__supplier", F.lit(""))),
         "recipient_BIN": F.coalesce(there("recipient_BIN"), F.nullif("__buyer", F.lit(""))),
         "date_issue": F.coalesce(there("date_issue"), F.nullif("__issue", F.lit(""))),
-    } | {k: get(k) for k in fixed.TOTAL_FIELDS}
+    } | {k: _given(k) for k in fixed.TOTAL_FIELDS}
+
+
+_SOURCED = ("__supplier", "__buyer", "__issue", "__iso")
+
+
+def normalized(docs: DataFrame) -> DataFrame:
+    """docs with the canonical fields, added where they are missing; the old names too; issue_date in ISO form if it can be read.
+
+    A field that is there but empty counts as there, except that dates are taken from the first filled source. All added
+    values come from the given map alone, so the map is rebuilt once and not step by step.
+    """
+    values = _canonical()
     added = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in values.items()]), lambda x: x["v"].isNotNull())
     rest = F.map_filter("fields", lambda k, v: ~k.isin(list(values)))
-    return given.withColumn("fields", F.map_concat(rest, F.map_from_entries(added))).drop("__supplier", "__buyer", "__issue", "__iso")
+    return _sourced(docs).withColumn("fields", F.map_concat(rest, F.map_from_entries(added))).drop(*_SOURCED)
 
 
 def with_texts(docs: DataFrame) -> DataFrame:
@@ -59,22 +74,27 @@ def with_texts(docs: DataFrame) -> DataFrame:
 
 
 def with_facts(docs: DataFrame) -> DataFrame:
-    """docs with the texts that the rules look at; text is searched only where no field is filled, first the section and then all of it."""
+    """docs (not yet normalised) with the texts that the rules look at; text is searched only where no field is filled, first the section and then all of it.
+
+    The canonical fields are looked up as columns; the map itself isn't rebuilt.
+    """
     both = lambda find: F.when(F.col("full_text") == "", F.lit("")).otherwise(F.coalesce(F.nullif(find(F.col("section_text")), F.lit("")), find(F.col("full_text"))))
-    fields = F.col("fields")
-    facts = docs.withColumns(
+    canonical = _canonical()
+    value = lambda k: canonical.get(k, F.try_element_at("fields", F.lit(k)))
+    first = lambda keys: F.coalesce(*[F.nullif(stripped(value(k)), F.lit("")) for k in keys], F.lit(""))
+    facts = _sourced(docs).withColumns(
         {
-            "supplier": first_of(fields, fixed.SUPPLIER_KEYS),
-            "buyer": first_of(fields, fixed.BUYER_KEYS),
-            "equal_supplier": first_of(fields, fixed.EQUAL_SUPPLIER_KEYS),
-            "equal_buyer": first_of(fields, fixed.EQUAL_BUYER_KEYS),
-            "check_supplier": first_of(fields, fixed.CHECK_SUPPLIER_KEYS),
-            "check_buyer": first_of(fields, fixed.CHECK_BUYER_KEYS),
-            "date": first_of(fields, fixed.DATE_KEYS),
-            "future": first_of(fields, fixed.FUTURE_KEYS),
-            "total": first_of(fields, fixed.TOTAL_KEYS),
+            "supplier": first(fixed.SUPPLIER_KEYS),
+            "buyer": first(fixed.BUYER_KEYS),
+            "equal_supplier": first(fixed.EQUAL_SUPPLIER_KEYS),
+            "equal_buyer": first(fixed.EQUAL_BUYER_KEYS),
+            "check_supplier": first(fixed.CHECK_SUPPLIER_KEYS),
+            "check_buyer": first(fixed.CHECK_BUYER_KEYS),
+            "date": first(fixed.DATE_KEYS),
+            "future": first(fixed.FUTURE_KEYS),
+            "total": first(fixed.TOTAL_KEYS),
         }
-    )
+    ).drop(*_SOURCED)
     facts = facts.withColumns(
         {
             "text_supplier": F.when((F.col("supplier") == "") | (F.col("equal_supplier") == "") | (F.col("check_supplier") == ""), both(lambda t: text_bin(t, fixed.SUPPLIER_LABELS))).otherwise(F.lit("")),
@@ -94,8 +114,8 @@ def with_facts(docs: DataFrame) -> DataFrame:
 
 def is_table_index(number: Column) -> Column:
     """Within 1e-9 of a whole number from 1 to 12, as columns of a table are numbered; false for null."""
-    usual = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < 1e9)
-    return F.when(usual, (F.abs(number - F.round(number)) < 1e-9) & F.round(number).between(1, 12)).otherwise(False)
+    usual = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e9)
+    return bound(number, lambda x: F.when(usual(x), (F.abs(x - F.round(x)) < 1e-9) & F.round(x).between(1, 12)).otherwise(False))
 
 
 def _item(code: str, level: str, title: Column | str, description: str = "", recommendation: str = "", value: Column | None = None) -> Column:
@@ -180,7 +200,7 @@ def register_rule(name: str, rule: Callable[[Column], Column]) -> None:
 def checked(docs: DataFrame, as_of: str | None = None, rules: list[str] | tuple[str, ...] | None = None) -> DataFrame:
     """doc_id, items: what the rules say of each document, in order. as_of defaults to the current day."""
     day = F.current_date() if as_of is None else F.lit(as_of).cast("date")
-    facts = with_facts(with_texts(normalized(docs)))
+    facts = with_facts(with_texts(docs))
     found = F.array(*[RULES[r](day).cast(_Value) for r in (rules or RULES)])
     return facts.select("doc_id", F.filter(found, lambda x: x.isNotNull()).alias("items"))
 
