@@ -1,9 +1,10 @@
 """Licence scans: exact phrases, and fuzzy search for short notices.
 
 A text becomes its words (ASCII lower-cased; ASCII characters other than letters and digits separate). Base places are where a
-phrase's words stand consecutively. Notices are searched with errors: a notice that may have k edits is cut
-into k + 1 parts, of which at least one must occur as it is, so one automaton over all parts locates the
-candidates; around each the regex library's bounded-error matching verifies the edits and gives the span.
+phrase's words stand consecutively. Notices are searched with errors: of the two halves of a notice that may have k edits one has at most
+k // 2, and if that half is cut into k // 2 + 1 parts, at least one of them occurs as it is. So one automaton over all parts locates the
+candidates; around each the regex library's bounded-error matching verifies the half with its edits, and where that holds the
+whole notice, which begins and ends with whole words; it gives the span. Words are counted on from place to place, so a text takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -38,10 +39,21 @@ PER_EDIT = 10
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def parts(notice: str, edits: int) -> list[tuple[int, str]]:
-    """The notice in edits + 1 parts of about equal length, with their places."""
-    at = [len(notice) * k // (edits + 1) for k in range(edits + 2)]
-    return [(a, notice[a:b]) for a, b in zip(at, at[1:], strict=False)]
+def parts(text: str, edits: int) -> list[tuple[int, str]]:
+    """A text in edits + 1 parts of about equal length, with their places."""
+    at = [len(text) * k // (edits + 1) for k in range(edits + 2)]
+    return [(a, text[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
+
+def word_numbers(text: bytes | str, places: list[int]) -> list[int]:
+    """How many spaces stand before each of the ascending places."""
+    out, n, last = [], 0, 0
+    space = b" " if isinstance(text, bytes) else " "
+    for at in places:
+        n += text.count(space, last, at)
+        last = at
+        out.append(n)
+    return out
 
 
 class NoticeFinder:
@@ -51,12 +63,16 @@ class NoticeFinder:
         import ahocorasick
         import regex
 
+        fuzzy = lambda text, edits, ends: regex.compile(f"{ends}(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}" + ("(?![^ ])" if ends else ""))
         self.phrases = {f" {p} ".encode(): label for p, label in phrases.items()}
-        self.notices = [(n, label, len(n) // per_edit, regex.compile(f"(?b)(?:{regex.escape(n, literal_spaces=True)}){{e<={len(n) // per_edit}}}")) for n, label in notices.items()]
+        self.notices = [(n, label, len(n) // per_edit, fuzzy(n, len(n) // per_edit, "(?b)(?<![^ ])")) for n, label in notices.items()]
+        self.halves: list[tuple[int, int, str, int, object]] = []  # notice, place in it, text, edits, pattern
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, (notice, _, edits, _) in enumerate(self.notices):
-            for at, part in parts(notice, edits):
-                seeds.setdefault(part, []).append((k, at))
+            for at, half in parts(notice, 1):
+                for inner, part in parts(half, edits // 2):
+                    seeds.setdefault(part, []).append((len(self.halves), inner))
+                self.halves.append((k, at, half, edits // 2, fuzzy(half, edits // 2, "")))
         self.automaton = ahocorasick.Automaton()
         for part, places in seeds.items():
             self.automaton.add_word(part, (len(part), places))
@@ -66,31 +82,45 @@ class NoticeFinder:
         """(word, label) of each place of a phrase in the words with a space before, between and after them."""
         found = []
         for phrase, label in self.phrases.items():
-            at = padded.find(phrase)
+            places, at = [], padded.find(phrase)
             while at >= 0:
-                found.append((padded.count(b" ", 0, at), label))
+                places.append(at)
                 at = padded.find(phrase, at + 1)
+            found += [(w, label) for w in word_numbers(padded, places)]
         return found
 
-    def fuzzy(self, text: str) -> list[tuple[str, int, int, int]]:
-        """(label, start, end, edits) of notices in the words joined by spaces, as characters; best first in each stretch."""
-        wanted: dict[int, list[list[int]]] = {}
+    @staticmethod
+    def _joined(spans: list[list[int]]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for a, b in sorted(spans):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(b, out[-1][1])
+            else:
+                out.append([a, b])
+        return out
+
+    def fuzzy(self, text: str) -> list[tuple[str, int, int, int, int]]:
+        """(label, start, end, edits, length of the notice) in the words joined by spaces, as characters; best first in each stretch."""
+        near: dict[int, list[list[int]]] = {}
         for end, (length, places) in self.automaton.iter(text):
-            for k, at in places:
-                notice, _, edits, _ = self.notices[k]
-                a = max(0, end + 1 - length - at - edits)
-                b = min(len(text), end + 1 - length - at + len(notice) + edits)
-                spans = wanted.setdefault(k, [])
-                if spans and spans[-1][0] <= a <= spans[-1][1]:
-                    spans[-1][1] = max(b, spans[-1][1])
-                elif not spans or [a, b] != spans[-1]:
-                    spans.append([a, b])
-        out = []
-        for k, spans in sorted(wanted.items()):
-            _, label, _, pattern = self.notices[k]
-            for a, b in spans:
-                out += [(label, m.start(), m.end(), sum(m.fuzzy_counts), len(self.notices[k][0])) for m in pattern.finditer(text, a, b)]
-        return sorted(set(out), key=lambda x: (x[1], x[3], x))
+            for h, at in places:
+                _, _, half, edits, _ = self.halves[h]
+                start = end + 1 - length - at
+                near.setdefault(h, []).append([max(0, start - edits), min(len(text), start + len(half) + edits)])
+        wanted: dict[int, list[list[int]]] = {}
+        for h, spans in near.items():
+            k, place, _, less, pattern = self.halves[h]
+            notice, _, edits, _ = self.notices[k]
+            for a, b in self._joined(spans):
+                for m in pattern.finditer(text, a, b, overlapped=True):
+                    start = m.start() - place
+                    wanted.setdefault(k, []).append([max(0, start - edits - less), min(len(text), start + len(notice) + 2 * edits + less)])
+        out = set()
+        for k, spans in wanted.items():
+            notice, label, _, pattern = self.notices[k]
+            for a, b in self._joined(spans):
+                out |= {(label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice)) for m in pattern.finditer(text, a, b)}
+        return sorted(out, key=lambda x: (x[1], x[3], x))
 
     def scan(self, text: str | None) -> dict:
         words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
@@ -108,7 +138,7 @@ class NoticeFinder:
             "base_labels": ",".join(sorted(own)),
             "labels": ",".join(sorted(own | {x[0] for x in fuzzy})),
             "score": 1.0 if base else max((1 - x[3] / x[4] for x in fuzzy), default=0.0),
-            "spans": [{"label": x[0], "first_word": plain.count(" ", 0, x[1]), "edits": x[3], "notice": plain[x[1] : x[2]]} for x in fuzzy],
+            "spans": [{"label": x[0], "first_word": w, "edits": x[3], "notice": plain[x[1] : x[2]]} for x, w in zip(fuzzy, word_numbers(plain, [x[1] for x in fuzzy]), strict=True)],
         }
 
 

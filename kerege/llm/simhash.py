@@ -10,9 +10,12 @@ the first pivot distance, so that a row meets only those within the radius on it
 Which pairs meet at all: the 64 bits are cut into radius + k zones; a pair within the radius differs in at
 most `radius` zones and so agrees on at least k whole ones. Each choice of k zones is one bucketing, so no link
 is lost and no bucket grows with the square of the corpus: k rises with the number of fingerprints.
-Buckets of over BUCKET rows (a huge cluster of near copies) aren't compared pair by pair: two fingerprints within
-the radius share a midpoint within half the radius of both, so every row sends itself to all midpoints of
-its bucket's free bits and each midpoint links its rows to its smallest one: linear in rows, split by key.
+Buckets of over BUCKET rows (a huge cluster of near copies) are cut by the pivot distances themselves: a row goes to its cell of SPLIT pivots' distances,
+each in ranges of twice the radius, and to the cells below whose ranges it is within the radius of, so that a pair within the radius meets in
+the cell of the nearer ones. Cells that still have over BUCKET rows aren't compared pair by pair: two fingerprints within the radius share a
+midpoint within half the radius (rounded down) of one and half the radius (rounded up) of the other, so every row sends itself to all midpoints of
+its bucket's free bits and each midpoint links its rows to its smallest one that is within the lower half: linear in rows, split by key. Both ways have
+the links of the comparison, for every radius; the tests hold them against all pairs.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ SEED = 42
 PIVOTS = 32
 #: Rows of a bucket that are compared in one task; larger buckets go by midpoints.
 BUCKET = 8192
+#: Pivots by whose distances larger buckets are cut.
+SPLIT = 3
 #: Mean rows of a bucket at most, by which the number of agreeing zones is set.
 FULL = 4
 #: Rows a task takes at once when it compares buckets.
@@ -77,7 +82,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def pivot_table(fps: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
     """Hamming distances of each fingerprint (uint64) to the fixed reference fingerprints."""
-    refs = np.array([xxhash.xxh64_intdigest(str(i), SEED) for i in range(pivots)], np.uint64)
+    refs = np.array([_pivot(i) for i in range(pivots)], np.uint64)
     return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
 
 
@@ -160,33 +165,62 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _pivot(i: int) -> int:
+    return xxhash.xxh64_intdigest(str(i), SEED)
+
+
 def similar_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) that connect every pair of distinct fingerprints (column fp) within the radius."""
     ship_package(distinct.sparkSession)
     masks = zone_masks(distinct.count(), radius)
     keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key")) for t, m in enumerate(masks)]
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("x")).select(F.col("x.key").alias("key"), "fp", F.col("x.t").alias("t"))
-    hot = written(rows.groupBy("key", "t").count().where(F.col("count") > bucket).select("key", "t"), "hot")
-    some = bool(hot.take(1))
-    cold = rows.join(hot.select("key"), "key", "left_anti") if some else rows
-    cold = cold.select("key", "fp").repartition("key").sortWithinPartitions("key")
-    links = cold.mapInArrow(_links(radius), "a long, b long")
-    return links.unionByName(_by_midpoints(rows.join(hot, ["key", "t"]), masks, radius)) if some else links
+    cold, hot = _parted(rows, bucket, "hot")
+    links = _compared(cold, radius)
+    if hot is None:
+        return links
+    few, many = _parted(_cells(hot, radius), bucket, "cells")
+    links = links.unionByName(_compared(few, radius))
+    return links if many is None else links.unionByName(_by_midpoints(many.select("t", "fp").distinct(), masks, radius))
+
+
+def _parted(rows: DataFrame, bucket: int, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """rows (key, fp, t) of keys with at most `bucket` rows, and the others (None if there are none)."""
+    large = written(rows.groupBy("key", "t").count().where(F.col("count") > bucket).select("key", "t"), name)
+    if not large.take(1):
+        return rows, None
+    return rows.join(large.select("key"), "key", "left_anti"), rows.join(large, ["key", "t"])
+
+
+def _compared(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges within equal keys, by pivot tables."""
+    return rows.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius), "a long, b long")
+
+
+def _cells(rows: DataFrame, radius: int) -> DataFrame:
+    """rows with a key for each cell of pivot distances that they belong to."""
+    width = max(1, 2 * radius)
+    out, names = rows, []
+    for p in range(SPLIT):
+        away = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(_pivot(p)))))
+        home, over = F.floor(away / width), (away % width < radius) & (away >= width)
+        out = out.withColumn(f"c{p}", F.explode(F.when(over, F.array(home, home - 1)).otherwise(F.array(home))))
+        names.append(f"c{p}")
+    return out.select(F.xxhash64("key", *names).alias("key"), "fp", "t")
 
 
 def _by_midpoints(rows: DataFrame, masks: list[int], radius: int) -> DataFrame:
-    """Edges for large buckets: rows (key, t, fp) that share a midpoint are linked to its smallest fingerprint."""
-    half = (radius + 1) // 2
+    """Edges for rows (t, fp) of large buckets: those that share a midpoint are linked to its smallest near fingerprint."""
+    near, far = radius // 2, radius - radius // 2
     out = None
     for t, mask in enumerate(masks):
         free = [1 << b for b in range(64) if not mask >> b & 1]
-        flips = [sum(c) for r in range(half + 1) for c in combinations(free, r)]
+        flips = [sum(c) for r in range(far + 1) for c in combinations(free, r)]
         points = rows.where(F.col("t") == t).select("fp", F.explode(F.array(*[F.lit(_signed(x)) for x in flips])).alias("flip"))
-        points = points.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
+        points = points.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"), (F.bit_count("flip") <= near).alias("near"))
         out = points if out is None else out.unionByName(points)
-    lowest = out.groupBy("mid").agg(F.min("fp").alias("low"))
-    pairs = out.join(lowest, "mid").where("low < fp").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    lowest = out.where("near").groupBy("mid").agg(F.min("fp").alias("low"))
+    return out.join(lowest, "mid").where("low <> fp").select(F.greatest("fp", "low").alias("a"), F.least("fp", "low").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:

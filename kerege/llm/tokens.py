@@ -30,17 +30,21 @@ KEPT = 500_000
 SYMBOLS = 400_000
 
 MARK = "▁"
+#: Characters, spaces and line ends that other normalisations than the identity would change.
+_PROBE = " ﬁＡ①  x\té\n e\u0301 "
 _SLOTS = 20
 _NONE = np.iinfo(np.int64).max
 
 
 class PieceCounter:
-    """Counts the pieces of a sentencepiece BPE model with identity normalisation, dummy prefix and byte fallback."""
+    """Counts the pieces of a sentencepiece BPE model with identity normalisation, dummy prefix and byte fallback; others raise ValueError."""
 
     def __init__(self, model_file: str, kept: int = KEPT):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        if model.normalize(_PROBE) != MARK + _PROBE.replace(" ", MARK) or not any(model.is_byte(i) for i in range(model.vocab_size())):
+            raise ValueError(f"{model_file} changes texts before it cuts them, or has no byte pieces; its tokens can't be counted here")
         special = {i for i in range(model.vocab_size()) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i)}
         score = {model.id_to_piece(i): model.get_score(i) for i in range(model.vocab_size()) if i not in special}
         ranks = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
@@ -173,7 +177,11 @@ def _counted(model_file: str, limit: int):
 
 
 def token_counts(docs: DataFrame, model_file: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row of docs; null texts count as empty, other columns are ignored."""
+    """doc_id, n_bytes, n_tokens, over_limit for each row of docs.
+
+    Null texts count as empty, which have no tokens. Texts are counted whole whatever their length. Rows that repeat are counted each for
+    itself, a null doc_id stays null. An empty table gives an empty one; other columns are ignored. A model that normalises texts raises ValueError.
+    """
     ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted(model_file, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 

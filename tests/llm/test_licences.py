@@ -70,3 +70,22 @@ def test_query(spark, sf):
         words, found = slow_base(docs[r.doc_id])
         assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(found), ",".join(sorted({x for _, x in found})))
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+
+
+def test_a_megabyte_of_places_takes_time_in_proportion(finder):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        got = finder.scan("mit license " * n)
+        took.append(time.process_time() - began)
+        assert got["n_base"] == n and got["last_word"] == 2 * n - 2
+    assert took[1] < 8 * took[0] + 1  # 16 times if it were quadratic
+    got = finder.scan("lorem licensed under the apache license version 2 0 " * 20_000)
+    assert len(got["spans"]) == 20_000 and got["spans"][-1]["first_word"] == 9 * 19_999 + 1
+
+
+def test_notices_begin_and_end_with_words(finder):
+    got = finder.scan("unreleased under the mit licenses")
+    assert all(x["notice"].split()[0] in ("unreleased", "under") and not x["notice"].endswith("license") for x in got["spans"])

@@ -19,7 +19,7 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def slow_components(rows):
+def slow_components(rows, radius=4):
     up = list(range(len(rows)))
 
     def find(i):
@@ -29,7 +29,7 @@ def slow_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (rows[i][1] ^ rows[j][1]).bit_count() <= 4:
+            if (rows[i][1] ^ rows[j][1]).bit_count() <= radius:
                 up[find(i)] = find(j)
     low = {}
     for i, (d, _) in enumerate(rows):
@@ -47,21 +47,21 @@ def test_matches_spark_hash(spark):
     assert spark.sql("select xxhash64('a b c d')").first()[0] % 2**64 == xxhash.xxh64_intdigest("a b c d", 42)
 
 
-@pytest.mark.parametrize("bucket", [8192, 3])
-def test_all_links(spark, bucket):
+@pytest.mark.parametrize(("bucket", "radius"), [(8192, 4), (3, 4), (8192, 5), (6, 3)])
+def test_all_links(spark, bucket, radius):
     rng = np.random.default_rng(1)
-    fps = [int(x) for x in rng.integers(0, 2**63, 300)]
-    for base in fps[:20]:
+    fps = [int(x) for x in rng.integers(0, 2**63, 100)]
+    for base in fps[:8]:
         near = base
         for _ in range(12):  # chains: each link within the radius of the one before
-            for b in rng.choice(63, rng.integers(1, 6), replace=False):
+            for b in rng.choice(63, rng.integers(1, radius + 2), replace=False):
                 near ^= 1 << int(b)
             fps.append(near)
     fps = sorted(set(fps))
-    links = simhash.similar_links(spark.createDataFrame([(f,) for f in fps], "fp long"), bucket=bucket)
+    links = simhash.similar_links(spark.createDataFrame([(f,) for f in fps], "fp long"), radius=radius, bucket=bucket)
     got = simhash.connected_components(links).collect()
     root = {r.node: r.root for r in got}
-    want = slow_components([(f, f) for f in fps])
+    want = slow_components([(f, f) for f in fps], radius)
     assert [root.get(f, f) for f in fps] == want
 
 
