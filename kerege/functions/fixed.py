@@ -56,9 +56,9 @@ HEADER_DATES = [r"СЧ[ЕЁ]Т[-\s]?ФАКТУРА[^\n\r]{0,80}от\s*", r"Ñ×[
 DATE_LABELS = [r"Дата\s*(?:выставления|выписки)\s*[:\-]", r"Äàòà\s*(?:âûñòàâëåíèÿ|âûïèñêè)\s*[:\-]"]
 MONTHS = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]
 
-# Labels of totals. The sixth preferred one asks for a backslash and can't be found in usual texts.
-TOTAL_LABELS = ["Итого", r"Итого\s*с\s*НДС", "Всего", r"Всего\s*к\s*оплате", r"К\s*оплате", r"Всего\s*стоимость\s*реализации", "Total", r"Grand\s*Total"]
-TOTAL_LABELS += ["Èòîãî", r"Èòîãî\s*ñ\s*ÍÄÑ", "Âñåãî", r"Âñåãî\s*ê\s*îïëàòå", r"Âñåãî\s*ïî\s*ñ÷åòó", r"Âñåãî\s*ñòîèìîñòü\s*ðåàëèçàöèè"]
+# Labels of totals, and the same as broken decoding leaves them. The sixth preferred one asks for a backslash and can't be found in usual texts.
+BROKEN_TOTAL_LABELS = ["Èòîãî", r"Èòîãî\s*ñ\s*ÍÄÑ", "Âñåãî", r"Âñåãî\s*ê\s*îïëàòå", r"Âñåãî\s*ïî\s*ñ÷åòó", r"Âñåãî\s*ñòîèìîñòü\s*ðåàëèçàöèè"]
+TOTAL_LABELS = ["Итого", r"Итого\s*с\s*НДС", "Всего", r"Всего\s*к\s*оплате", r"К\s*оплате", r"Всего\s*стоимость\s*реализации", "Total", r"Grand\s*Total", *BROKEN_TOTAL_LABELS]
 PREFERRED_TOTALS = [r"Всего\s*к\s*оплате", r"Итого\s*с\s*НДС", r"Всего\s*стоимость\s*реализации", r"Âñåãî\s*ê\s*îïëàòå", r"Èòîãî\s*ñ\s*ÍÄÑ", r"Âñåãî\s*ñòîèìîñòü\\s*ðåàëèçàöèè"]
 MONEY = "([0-9\\s  ’‘',.]+)"
 
@@ -187,3 +187,59 @@ DOCUMENT_TYPES = {
     "Акт": ["Акт выполненных работ", "Исполнитель", "Заказчик", "Подписи сторон"],
     "ЭСФ": ["ЭЛЕКТРОННЫЙ СЧЕТ-ФАКТУРА", "Раздел А", "Раздел G", "ЭЦП"],
 }
+
+# Fixed values of the older generation: field names and labels.
+LEGACY_DATE_KEYS = ["issue_date", "date_issue", "document_date", "дата_выписки", "issueDate"]
+LEGACY_BUYER_LABELS = [r"БИН\s*покупател[ьяя]", r"БИН\s*получател[ьяя]", r"BIN\s*(buyer|recipient)", r"ИИН/БИН\s*покупател[ьяя]", r"ИИН/БИН\s*получател[ьяя]"]
+LEGACY_SUPPLIER_LABELS = [r"БИН\s*поставщик[а]", r"BIN\s*(supplier|seller)", r"ИИН/БИН\s*поставщик[а]"]
+
+# The first catalogue's codes in its order; level and message.
+FIRST_CATALOGUE = {
+    "F001": ("ERROR", "Файл не распознан как корректный ЭСФ (ожидаем PDF/XLS)."),
+    "F002": ("ERROR", "Отсутствуют обязательные поля: seller_id, buyer_id, number, issue_date, currency, lines."),
+    "F003": ("ERROR", "«PDF-скан без вложенного XML не поддерживается в V0. Используйте Excel-шаблон или PDF с XML/UBL-вложением.»"),
+    "D001": ("ERROR", "Дата ЭСФ не может быть в будущем."),
+    "D002": ("ERROR", "Дата ЭСФ вне заданного периода отчётности."),
+    "N001": ("ERROR", "Неверный номер ЭСФ (допустимы буквы/цифры/-/_; длина ≤ 64)."),
+    "ID001": ("ERROR", "Идентификатор продавца имеет неверный формат."),
+    "ID002": ("ERROR", "Идентификатор покупателя имеет неверный формат."),
+    "ID003": ("WARN", "Продавец и покупатель совпадают."),
+    "CUR001": ("ERROR", "Код валюты не распознан (ожидаем ISO-4217)."),
+    "CUR002": ("WARN", "Курс валюты не указан."),
+    "AMT001": ("ERROR", "Поле 'Общая сумма' не найдено или равно нулю."),
+    "NEG001": ("ERROR", "Общая сумма документа имеет отрицательное значение."),
+    "TOT001": ("ERROR", "Итого по документу не совпадает с суммой строк."),
+    "TOT002": ("WARN", "Разница между суммой строк и итогом превышает 1 KZT."),
+    "ROUND001": ("INFO", "Сумма округлена по правилам ЭСФ."),
+    "ROUND002": ("WARN", "Погрешность округления превышает допустимую норму."),
+    "VAT001": ("ERROR", "Не найдено значение ставки НДС по строкам документа."),
+    "VAT002": ("WARN", "Не для всех строк указана ставка НДС."),
+    "VAT003": ("INFO", "Документ оформлен без НДС."),
+    "VAT004": ("ERROR", "Ставка НДС указана неверно."),
+    "QTY001": ("ERROR", "Не указано количество товара."),
+    "QTY002": ("WARN", "Количество товара отрицательное."),
+    "UOM001": ("WARN", "В строке не указана единица измерения."),
+    "PRICE001": ("ERROR", "Цена товара не указана или отрицательная."),
+    "PRICE002": ("WARN", "Цена указана с лишними знаками после запятой."),
+    "DISC001": ("INFO", "В документе применена скидка."),
+    "DISC002": ("WARN", "Скидка по строке превышает 50 %."),
+    "LINE001": ("ERROR", "В документе нет ни одной товарной позиции."),
+    "LINE002": ("WARN", "Количество строк превышает допустимое значение."),
+    "REF001": ("INFO", "Документ имеет ссылку на исходный ЭСФ."),
+    "REF002": ("WARN", "Исходный ЭСФ по указанному номеру не найден."),
+    "SIG001": ("ERROR", "Документ не подписан ЭЦП."),
+    "SIG002": ("WARN", "Подпись недействительна или истёк срок сертификата."),
+    "META001": ("INFO", "Обнаружены служебные поля — debug/test."),
+    "META002": ("WARN", "Документ помечен как тестовый."),
+    "AUTH001": ("ERROR", "Отсутствует информация о подписанте документа."),
+    "AUTH002": ("WARN", "Подписант отличается от директора."),
+    "SYS001": ("INFO", "Ошибок не обнаружено."),
+    "D000": ("ERROR", "Обязательная дата ЭСФ не найдена или не распознана."),
+}
+
+# Currency codes in use.
+CURRENCIES = (
+    "AED AFN ALL AMD AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BRL BSD BTN BWP BYN BZD CAD CDF CHF CLP CNY COP CRC CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP "
+    "GMD GNF GTQ GYD HKD HNL HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MYR MZN NAD NGN NIO "
+    "NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SEK SGD SHP SLE SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD UYU UZS VED VES VND VUV WST XAF XCD XOF XPF YER ZAR ZMW ZWG"
+).split()

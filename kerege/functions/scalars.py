@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -204,9 +204,9 @@ def fix_mojibake(text: Column) -> Column:
     return F.when(text.rlike("[\\x80-\\xFF]"), best.text).otherwise(text)
 
 
-def esf_section(text: Column) -> Column:
+def esf_section(text: Column, headers: Iterable[str] = tuple(fixed.SECTION_HEADERS)) -> Column:
     """From the first section header up to what follows the section; the whole text without a header."""
-    at = [F.nullif(F.regexp_instr(text, F.lit(f"(?iuU){h}")), F.lit(0)) for h in fixed.SECTION_HEADERS]
+    at = [F.nullif(F.regexp_instr(text, F.lit(f"(?iuU){h}")), F.lit(0)) for h in headers]
     start = F.array_min(F.array(*at))
     tail = F.substr(text, start)
     stop = F.regexp_instr(tail, F.lit(f"(?iuUm){fixed.NEXT_SECTION}"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerege.functions import fixed
 from kerege.functions.scalars import clean_key, clean_text, header_similarity, is_strict_bin, only_digits, parse_date_found
+from kerege.settings import Settings
 
 HEADER_SHARE = 0.82
 DATE_SHARE = 0.75
@@ -78,27 +79,27 @@ def cell_bins(cells: DataFrame) -> DataFrame:
     return labelled.unionByName(_by_context(near, missing("supplier_bin") & has_token(F.col("key"), fixed.SUPPLIER_TOKENS), missing("buyer_bin") & has_token(F.col("key"), fixed.BUYER_TOKENS)))
 
 
-def cell_dates(cells: DataFrame, kind: str = "issue_date") -> DataFrame:
+def cell_dates(cells: DataFrame, kind: str = "issue_date", aliases: dict[str, list[str]] = fixed.HEADER_ALIASES) -> DataFrame:
     """doc_id, issue_date (ISO): the first date in reading order beside or under a like header, or in a cell that names an invoice."""
     dated = cells.select("doc_id", "r", "c", "v", parse_date_found(F.col("v")).alias("day")).where("day is not null")
     beside = neighbours(dated, cells, [(0, -1), (-1, 0)]).withColumn("key", clean_key(F.col("v2")))
-    alike = lambda name: F.max(header_similarity(F.col("key"), fixed.HEADER_ALIASES[name], DATE_SHARE))
+    alike = lambda name: F.max(header_similarity(F.col("key"), aliases[name], DATE_SHARE))
     scores = beside.groupBy("doc_id", "r", "c").agg(alike("issue_date").alias("issue"), alike("turnover_date").alias("turnover"))
     rows = dated.join(scores, ["doc_id", "r", "c"], "left").fillna(0.0, ["issue", "turnover"]).withColumn("key", clean_key(F.col("v")))
-    own = (header_similarity(F.col("key"), fixed.HEADER_ALIASES["issue_date"], DATE_SHARE) >= DATE_SHARE) | has_token(F.col("key"), fixed.INVOICE_WORDS)
+    own = (header_similarity(F.col("key"), aliases["issue_date"], DATE_SHARE) >= DATE_SHARE) | has_token(F.col("key"), fixed.INVOICE_WORDS)
     hit = (F.col("issue") >= DATE_SHARE) | ((F.col("turnover") < DATE_SHARE) & own) if kind == "issue_date" else F.col("turnover") >= DATE_SHARE
     return rows.where(hit).groupBy("doc_id").agg(F.date_format(F.min_by("day", F.struct("r", "c")), "yyyy-MM-dd").alias(kind))
 
 
-def cell_totals(cells: DataFrame, prefer: str = "gross") -> DataFrame:
+def cell_totals(cells: DataFrame, prefer: str = "gross", aliases: dict[str, list[str]] = fixed.HEADER_ALIASES, share: float = HEADER_SHARE) -> DataFrame:
     """doc_id, kind, amount, trace: for each kind of total the number in, right of (5) or under (3) its last label in reading order that has one.
 
     A kind total_amount comes last: the preferred kind's number, else the gross one, else that of its own label.
     """
-    kinds = [k for k in fixed.HEADER_ALIASES if k.startswith("total")]
+    kinds = [k for k in aliases if k.startswith("total")]
     # aliases hold letters in all but a few places, so cells without a letter are no labels
     keyed = cells.where(F.col("v").rlike(r"\p{L}")).select("doc_id", "r", "c", clean_key(F.col("v")).alias("key"))
-    tagged = keyed.withColumn("kind", F.explode(F.array_compact(F.array(*[F.when(header_similarity(F.col("key"), fixed.HEADER_ALIASES[k], HEADER_SHARE) >= HEADER_SHARE, k) for k in kinds])))).drop("key")
+    tagged = keyed.withColumn("kind", F.explode(F.array_compact(F.array(*[F.when(header_similarity(F.col("key"), aliases[k], share) >= share, k) for k in kinds])))).drop("key")
     raw = F.replace(F.replace(F.regexp_extract(F.lower(clean_text(F.col("v2"))), r"(-?\d[\d\s,.]*)", 1), F.lit(" "), F.lit("")), F.lit(","), F.lit("."))
     near = neighbours(tagged, cells, _NUMBER_OFFSETS).withColumn("amount", raw.try_cast("double")).where("amount is not null")
     # the labels' few neighbours move once, by document; the three aggregations then stay where they are
@@ -114,10 +115,11 @@ def cell_totals(cells: DataFrame, prefer: str = "gross") -> DataFrame:
     return out.select("doc_id", "y.kind", "y.x.amount", "y.x.trace")
 
 
-def sheet_documents(cells: DataFrame) -> DataFrame:
+def sheet_documents(cells: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, fields, raw_text (null) of sheets, ready to be checked."""
+    told = settings or Settings()
     pairs = cell_bins(cells).select("doc_id", F.col("role").alias("k"), F.col("bin").alias("v"))
-    pairs = pairs.unionByName(cell_dates(cells).select("doc_id", F.lit("issue_date").alias("k"), F.col("issue_date").alias("v")))
-    pairs = pairs.unionByName(cell_totals(cells).select("doc_id", F.col("kind").alias("k"), F.col("amount").cast("string").alias("v")))
+    pairs = pairs.unionByName(cell_dates(cells, aliases=told.header_aliases).select("doc_id", F.lit("issue_date").alias("k"), F.col("issue_date").alias("v")))
+    pairs = pairs.unionByName(cell_totals(cells, told.prefer_total, told.header_aliases, told.header_share).select("doc_id", F.col("kind").alias("k"), F.col("amount").cast("string").alias("v")))
     every = cells.select("doc_id").distinct().join(pairs.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fields")), "doc_id", "left")
     return every.select("doc_id", F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("fields"), F.lit(None).cast("string").alias("raw_text"))

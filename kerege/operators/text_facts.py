@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,18 +62,24 @@ def preferred_total(text: Column) -> Column:
     return F.coalesce(*found, F.lit(""))
 
 
-#: What a money number is made of, and the first letters of total labels.
+#: What a money number is made of.
 _MONEY_CHARS = fixed.MONEY.strip("()+")
-_FIRST_LETTERS = "[" + "".join(sorted({x[0] for x in fixed.TOTAL_LABELS})) + "]"
 
 
-def scored_total(text: Column, gap: int = 140) -> Column:
+def _first_letters(labels: Iterable[str]) -> str:
+    """A look at the next letter, where all labels begin with a plain one; else nothing."""
+    letters = sorted({x[:1] for x in labels})
+    return "(?=[" + "".join(letters) + "])" if all(x.isalpha() for x in letters) else ""
+
+
+def scored_total(text: Column, gap: int = 140, total_labels: Iterable[str] = tuple(fixed.TOTAL_LABELS)) -> Column:
     """The best number near any label: separators count two, four digits one, then the larger number, then the later; else empty.
 
     A label is tried where one of their first letters stands. A number in front of a label is tried from its first character alone and
     never given back in part: from a later place, or with fewer characters, no label is reached that isn't reached so.
     """
-    labels = f"(?={_FIRST_LETTERS})(?:" + "|".join(fixed.TOTAL_LABELS) + ")"
+    first = _first_letters(total_labels)
+    labels = f"{first}(?:" + "|".join(total_labels) + ")"
     gap = max(20, min(gap, 300))
     shapes = (rf"{_FLAGS}{labels}\s*[:\-]?\s*[^\d\n\r]{{0,{gap}}}{fixed.MONEY}", rf"{_FLAGS}(?<!{_MONEY_CHARS})({_MONEY_CHARS}++)[^\d\n\r]{{0,{gap}}}{labels}")
 
@@ -87,7 +94,7 @@ def scored_total(text: Column, gap: int = 140) -> Column:
     score = lambda value: F.when(value.rlike("[,.’']"), 2).otherwise(0) + F.when(F.length(only_digits(value)) >= 4, 1).otherwise(0)
     good = lambda z, value: looks_like_money(value) & _clear_of_identifiers(text, z["start"], F.length(z["raw"]))
     best = F.array_max(F.filter(F.transform(F.concat(candidates(0), candidates(1)), scored), lambda x: x.isNotNull()))
-    return F.when(text.rlike(f"(?iu){_FIRST_LETTERS}"), F.coalesce(best["value"], F.lit(""))).otherwise(F.lit(""))
+    return F.when(text.rlike(f"(?iu){first}"), F.coalesce(best["value"], F.lit(""))).otherwise(F.lit(""))
 
 
 def _placed(shape: int):
@@ -111,8 +118,8 @@ def _starts(text: Column, matches: Column) -> Column:
     return F.aggregate(matches, zero, step)["starts"]
 
 
-def text_total(text: Column) -> Column:
-    return F.coalesce(F.nullif(preferred_total(text), F.lit("")), scored_total(text))
+def text_total(text: Column, gap: int = 140, total_labels: Iterable[str] = tuple(fixed.TOTAL_LABELS)) -> Column:
+    return F.coalesce(F.nullif(preferred_total(text), F.lit("")), scored_total(text, gap, total_labels))
 
 
 def pdf_bins(text: Column) -> tuple[Column, Column]:

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerege.functions import fixed
-from kerege.functions.scalars import bound, checksum_holds, esf_section, fix_mojibake, is_bin, parse_date_exact, parse_date_found, parse_number, stripped, to_iso
+from kerege.functions.scalars import bound, checksum_holds, esf_section, first_of, fix_mojibake, is_bin, parse_date_exact, parse_date_found, parse_number, stripped, to_iso
 from kerege.operators.text_facts import text_bin, text_date, text_total
+from kerege.settings import Settings
 
 _Value = "struct<code:string,level:string,title:string,description:string,recommendation:string,value:string>"
 
@@ -67,18 +68,21 @@ def normalized(docs: DataFrame) -> DataFrame:
     return _sourced(docs).withColumn("fields", F.map_concat(rest, F.map_from_entries(added))).drop(*_SOURCED)
 
 
-def with_texts(docs: DataFrame) -> DataFrame:
+def with_texts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """docs with full_text (repaired) and section_text; each is made once for each document."""
     repaired = docs.withColumn("full_text", F.when(F.coalesce("raw_text", F.lit("")) == "", F.lit("")).otherwise(fix_mojibake(F.col("raw_text"))))
-    return repaired.withColumn("section_text", F.when(F.col("full_text") == "", F.lit("")).otherwise(esf_section(F.col("full_text"))))
+    told = settings or Settings()
+    section = esf_section(F.col("full_text"), told.section_headers) if told.prefer_section else F.col("full_text")
+    return repaired.withColumn("section_text", F.when(F.col("full_text") == "", F.lit("")).otherwise(section))
 
 
-def with_facts(docs: DataFrame) -> DataFrame:
+def with_facts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """docs (not yet normalised) with the texts that the rules look at; text is searched only where no field is filled, first the section and then all of it.
 
     The canonical fields are looked up as columns; the map itself isn't rebuilt.
     """
     both = lambda find: F.when(F.col("full_text") == "", F.lit("")).otherwise(F.coalesce(F.nullif(find(F.col("section_text")), F.lit("")), find(F.col("full_text"))))
+    told = settings or Settings()
     canonical = _canonical()
     value = lambda k: canonical.get(k, F.try_element_at("fields", F.lit(k)))
     first = lambda keys: F.coalesce(*[F.nullif(stripped(value(k)), F.lit("")) for k in keys], F.lit(""))
@@ -100,7 +104,7 @@ def with_facts(docs: DataFrame) -> DataFrame:
             "text_supplier": F.when((F.col("supplier") == "") | (F.col("equal_supplier") == "") | (F.col("check_supplier") == ""), both(lambda t: text_bin(t, fixed.SUPPLIER_LABELS))).otherwise(F.lit("")),
             "text_buyer": F.when((F.col("buyer") == "") | (F.col("equal_buyer") == "") | (F.col("check_buyer") == ""), both(lambda t: text_bin(t, fixed.BUYER_LABELS))).otherwise(F.lit("")),
             "text_date": F.when((F.col("date") == "") | (F.col("future") == ""), both(text_date)).otherwise(F.lit("")),
-            "text_total": F.when((F.col("total") == "") | is_table_index(parse_number(F.col("total"))), both(text_total)).otherwise(F.lit("")),
+            "text_total": F.when((F.col("total") == "") | is_table_index(parse_number(F.col("total"))), both(lambda t: text_total(t, told.max_gap, told.total_labels))).otherwise(F.lit("")),
         }
     )
     filled = lambda name, text: F.when(F.col(name) == "", F.col(text)).otherwise(F.col(name)).alias(name)
@@ -142,6 +146,11 @@ def _equal(as_of: Column) -> Column:
     return F.when((supplier == "") | (buyer == ""), None).when(supplier == buyer, _failed("BIN007", value)).otherwise(_item("BIN007", "OK", *fixed.BIN007_OK, value=value))
 
 
+def _equal_allowed(as_of: Column) -> Column:
+    supplier, buyer = F.col("equal_supplier"), F.col("equal_buyer")
+    return F.when((supplier != "") & (buyer != ""), _item("BIN007", "OK", *fixed.BIN007_OK, value=F.concat(supplier, F.lit("/"), buyer)))
+
+
 def _dated(as_of: Column) -> Column:
     return F.when(parse_date_exact(F.col("date")).isNull(), _failed("D000", F.col("date"))).otherwise(_right("D000", F.col("date")))
 
@@ -188,8 +197,6 @@ RULES: dict[str, Callable[[Column], Column]] = {
     "BIN012a": _checksum("check_supplier", fixed.ROLES[0]),
     "BIN012b": _checksum("check_buyer", fixed.ROLES[1]),
 }
-#: The older generation has fewer rules.
-LEGACY = ("BIN001", "BIN002", "D000", "D001", "BIN012a", "BIN012b")
 
 
 def register_rule(name: str, rule: Callable[[Column], Column]) -> None:
@@ -197,28 +204,49 @@ def register_rule(name: str, rule: Callable[[Column], Column]) -> None:
     RULES[name] = rule
 
 
-def checked(docs: DataFrame, as_of: str | None = None, rules: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+def checked(docs: DataFrame, as_of: str | None = None, rules: list[str] | tuple[str, ...] | None = None, settings: Settings | None = None) -> DataFrame:
     """doc_id, items: what the rules say of each document, in order. as_of defaults to the current day."""
     day = F.current_date() if as_of is None else F.lit(as_of).cast("date")
-    facts = with_facts(with_texts(docs))
-    found = F.array(*[RULES[r](day).cast(_Value) for r in (rules or RULES)])
+    told = settings or Settings()
+    made = RULES | ({"BIN007": _equal_allowed} if told.allow_equal_bins else {})
+    names = [r for r in rules or made if told.checksum or not r.startswith("BIN012")]
+    facts = with_facts(with_texts(docs, told), told)
+    found = F.array(*[made[r](day).cast(_Value) for r in names])
     return facts.select("doc_id", F.filter(found, lambda x: x.isNotNull()).alias("items"))
 
 
+def legacy_checked(docs: DataFrame, as_of: str | None = None, settings: Settings | None = None) -> DataFrame:
+    """doc_id, items by the rules of the older generation: fields as they are given, identifiers behind fewer labels in the raw text, four date forms; D001 says nothing of dates that can't be read."""
+    told = settings or Settings()
+    day = F.current_date() if as_of is None else F.lit(as_of).cast("date")
+    given = docs.withColumns({"fields": F.coalesce("fields", F.create_map().cast("map<string,string>")), "raw_text": F.coalesce("raw_text", F.lit(""))})
+    pairs = (("supplier", fixed.CHECK_SUPPLIER_KEYS, fixed.LEGACY_SUPPLIER_LABELS), ("buyer", fixed.CHECK_BUYER_KEYS, fixed.LEGACY_BUYER_LABELS))
+    facts = {name: F.coalesce(F.nullif(first_of(F.col("fields"), keys), F.lit("")), text_bin(F.col("raw_text"), labels)) for name, keys, labels in pairs}
+    facts["date"] = first_of(F.col("fields"), fixed.LEGACY_DATE_KEYS)
+    rows = given.select("doc_id", *[v.alias(k) for k, v in facts.items()])
+    date = F.when(~F.col("date").rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), parse_date_exact(F.col("date")))
+    late = F.when(date > day, _failed("D001", F.col("date"))).when(date.isNotNull(), _right("D001", F.col("date")))
+    made = [_present("BIN001", "supplier"), _present("BIN002", "buyer"), F.when(date.isNull(), _failed("D000", F.col("date"))).otherwise(_right("D000", F.col("date"))), late]
+    if told.checksum:
+        made += [_checksum("supplier", fixed.ROLES[0])(day), _checksum("buyer", fixed.ROLES[1])(day)]
+    return rows.select("doc_id", F.filter(F.array(*[x.cast(_Value) for x in made]), lambda x: x.isNotNull()).alias("items"))
+
+
 def message(item: Column, show_values: bool = True) -> Column:
     """Title, description and recommendation, those that aren't blank; and the value, if there is one."""
     parts = F.concat_ws(" — ", *[F.nullif(stripped(item[c]), F.lit("")) for c in ("title", "description", "recommendation")])
     return F.concat(parts, F.when(item["value"].isNotNull(), F.concat(F.lit(" [значение: "), item["value"], F.lit("]"))).otherwise(F.lit(""))) if show_values else parts
 
 
-def priority(code: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for p in fixed.PRIORITY.items() for x in p])
+def priority(code: Column, told: dict[str, int] = fixed.PRIORITY) -> Column:
+    known = F.create_map(*[F.lit(x) for p in told.items() for x in p]).cast("map<string,int>")
     return F.coalesce(F.try_element_at(known, code), F.when(code.startswith("BIN"), 0).when(code.startswith("D"), 1).otherwise(2))
 
 
-def results(items: DataFrame, show_values: bool = True) -> DataFrame:
+def results(items: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, ord, code, level, message, value: items sorted by priority, code and the rules' order; ord counts from 0."""
-    scored = F.transform("items", lambda x, k: F.struct(priority(x["code"]).alias("priority"), x["code"].alias("code"), k.alias("k"), F.upper(x["level"]).alias("level"), message(x, show_values).alias("message"), x["value"].alias("value")))
+    told = settings or Settings()
+    scored = F.transform("items", lambda x, k: F.struct(priority(x["code"], told.priority).alias("priority"), x["code"].alias("code"), k.alias("k"), F.upper(x["level"]).alias("level"), message(x, told.show_values).alias("message"), x["value"].alias("value")))
     return items.select("doc_id", F.posexplode_outer(F.array_sort(scored)).alias("ord", "x")).where("x is not null").select("doc_id", "ord", "x.code", "x.level", "x.message", "x.value")
 
 

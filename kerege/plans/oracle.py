@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kerege.functions import fixed
+from kerege.functions.scalars import plain_key
 from kerege.sources.invoices import AS_OF
 
 
@@ -53,7 +54,9 @@ mut as (select doc_id, cast(doc_id % 22 as integer) as m,
 
 _OK = [(c, None, t, "", "") for c, t in fixed.OK_TITLES.items()] + [("BIN007", None, *fixed.BIN007_OK)] + [("BIN012", r, fixed.CHECKSUM_OK.format(role=r), "", "") for r in fixed.ROLES]
 
-RES = f"""{MUT},
+def _results(mut: str) -> str:
+    """Rule results of a table mut (doc_id, supplier, buyer, written, total)."""
+    return f"""{mut},
 f as (select *, coalesce(try_cast(try_strptime(written, '%Y-%m-%d') as date), try_cast(try_strptime(written, '%d.%m.%Y') as date)) as d, try_cast(total as double) as num from mut),
 g as (select *, coalesce(strftime(d, '%Y-%m-%d'), written) as shown, (num is not null and abs(num - round(num)) < 1e-9 and round(num) between 1 and 12) as idx from f),
 raw as (
@@ -62,7 +65,7 @@ raw as (
   union all select doc_id, 2, 'BIN007', null, supplier <> buyer, supplier || '/' || buyer from g where supplier <> '' and buyer <> ''
   union all select doc_id, 3, 'D000', null, d is not null, shown from g
   union all select doc_id, 4, 'D001', null, not coalesce(d > date '{AS_OF}', false), shown from g
-  union all select doc_id, 5, 'TOT001', null, not idx and coalesce(num > 0, false), case when idx then null else total end from g
+  union all select doc_id, 5, 'TOT001', null, not idx and coalesce(num > 0, false), case when idx then null else nullif(total, '') end from g
   union all select doc_id, 6, 'NEG001', null, false, total from g where num < 0
   union all select doc_id, 7, 'BIN012', '{fixed.ROLES[0]}', {_holds("supplier")}, supplier from g where length({_digits("supplier")}) = 12
   union all select doc_id, 8, 'BIN012', '{fixed.ROLES[1]}', {_holds("buyer")}, buyer from g where length({_digits("buyer")}) = 12),
@@ -75,6 +78,9 @@ items as (select doc_id, n, raw.code, case when ok then 'OK' else cat.level end
 res as (select doc_id, cast(row_number() over (partition by doc_id order by case when code like 'BIN%' then 0 when code like 'D%' then 1 else 2 end, code, n) - 1 as integer) as ord, code, level,
   concat_ws(' — ', nullif(title, ''), nullif(description, ''), nullif(recommendation, '')) || coalesce(' [значение: ' || value || ']', '') as message, value from items)"""
 
+
+RES = _results(MUT)
+
 _GROUP = "case when code like 'BIN%' then 'BIN' when code like 'D0%' then 'DATE' when code like 'TOT%' or code like 'NEG%' then 'SUM' else regexp_extract(code, '^[A-Za-z]+') end"
 _TITLE = "case group_key " + " ".join(f"when '{k}' then '{v}'" for k, v in fixed.GROUP_TITLES.items()) + " end"
 REP = f"""{RES},
@@ -271,10 +277,11 @@ select key, text, case when key % 6 in (0, 1, 2, 4) then d end as found, case wh
   regexp_replace({_any(fixed.PDF_DATES)}, '\\s*[./-]\\s*', '.', 'g') as day, trim(replace(translate(coalesce({_SUMS}[-1], ''), '  ', ''), ',', '.'), {_WS}) as total from txt""",
     "esf_section": f"""with {TXT} select doc_id, case doc_id % 4 when 0 then '' when 1 then trim(substr(text, strpos(text, 'ЭСФ'), strpos(text, 'Приложение') - strpos(text, 'ЭСФ')), {_WS}) when 2 then substr(text, strpos(text, 'Tax Invoice')) else text end as section from txt""",
     "clean_text_key": f"select doc_id, md5({_CLEAN}) as text_md5, md5(trim(regexp_replace(regexp_replace({_KEY}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))) as key_md5 from documents",
-    "header_similarity": "with k as (select cast(p_partkey as bigint) as key, trim(regexp_replace(lower(p_name), '[^a-z0-9_]+', ' ', 'g')) as h from part) select key, round(greatest("
-    + ", ".join(_alike("h", a) for a in fixed.HEADER_ALIASES["total_amount"][3:5])
-    + "), 6) as similarity from k",
-    "cell_neighbours": f"with {CELLS} {_JOINED.format('cl', _moves([(0, -1), (-1, 0)]))}",
+    "header_similarity": "with k as (select cast(p_partkey as bigint) as key, trim(regexp_replace(lower(p_name), '[^a-z0-9_]+', ' ', 'g')) as h from part), x as (select key, "
+    + ", ".join(f"round(greatest(0.0, {', '.join(_alike('h', plain_key(a)) for a in aliases)}), 6) as {kind}" for kind, aliases in fixed.HEADER_ALIASES.items() if aliases)
+    + " from k) select *, total_amount >= 0.3 as alike from x",
+    # the moved places are made first, so that the join is on plain columns
+    "cell_neighbours": f"with {CELLS}, moved as (select a.*, k, a.r + dr as r2, a.c + dc as c2 from cl a, {_moves([(0, -1), (-1, 0)])} o) select m.doc_id, m.r, m.c, m.v, m.k, m.r2, m.c2, b.v as v2 from moved m join cl b on b.doc_id = m.doc_id and b.r = m.r2 and b.c = m.c2",
     "cell_bin_label": f"with {LABELLED} select doc_id, role, {_digits('v2')} as bin, 'LABEL@R' || r || 'C' || c || '->R' || r2 || 'C' || c2 as trace from pick where p = 1",
     "cell_bin_context": f"with {CONTEXT} select doc_id, 'supplier_bin' as role, {_digits('v')} as bin, 'CTX@R' || r || 'C' || c as trace from sup where p = 1 union all select doc_id, 'buyer_bin', {_digits('v')}, 'CTX@R' || r || 'C' || c from buy where p = 1",
     "cell_dates": f"with {CELLS} select doc_id, strftime(day, '%Y-%m-%d') as issue_date from inv",
@@ -302,3 +309,78 @@ select doc_id, cast(row_number() over (partition by doc_id order by place, gk) -
 _PAIRS = "".join(chr(b) for b in range(0x80, 0x100) if b != 0x98)
 ORACLE_SQL["mojibake_fix"] = f"with {TXT} select doc_id, translate(text, {_q(bytes(b for b in range(0x80, 0x100) if b != 0x98).decode('cp1251'))}, {_q(_PAIRS)}) as broken, text as fixed from txt"
 ORACLE_SQL |= {f"rule_{code.lower()}": f"with {RES} select doc_id, level, value from items where code = '{code}'" for code in fixed.CATALOGUE}
+
+# documents that are sheets or texts alone: what is found in them, checked as fields are
+_SHEETS = f"""{INV},
+mut as (select doc_id, supplier_bin as supplier, buyer_bin as buyer, strftime(day, '%Y-%m-%d') as written, case when doc_id % 3 = 2 then '' else {_money("cents")} end as total from inv)"""
+_TEXTS = f"""{SCORED},
+mut as (select txt.doc_id, {_labelled(fixed.SUPPLIER_LABELS)} as supplier, {_labelled(fixed.BUYER_LABELS)} as buyer,
+  coalesce(nullif({_first([_extract("text", h + fixed.ANY_DATE, 1) for h in fixed.HEADER_DATES])}, ''), {", ".join(f"nullif({_extract('text', x + chr(92) + 's*' + fixed.ANY_DATE, 1)}, '')" for x in fixed.DATE_LABELS)}, case when txt.doc_id % 4 = 2 then strftime(day, '%d.%m.%Y') end, regexp_extract(text, '\\b\\d{{2}}[./-]\\d{{2}}[./-]\\d{{4}}\\b')) as written,
+  coalesce(nullif({_preferred()}, ''), value, '') as total from txt left join w on txt.doc_id = w.doc_id and w.k = 1)"""
+ORACLE_SQL["sheet_rule_counts"] = f"with {_results(_SHEETS)} select code, level, count(*) as n from res group by all"
+ORACLE_SQL["text_rule_counts"] = f"with {_results(_TEXTS)} select code, level, count(*) as n from res group by all"
+ORACLE_SQL["legacy_rule_counts"] = f"""with {RES}, old as (select * from res where code not in ('BIN007', 'TOT001', 'NEG001') and not (code = 'D001' and doc_id in (select doc_id from g where d is null)))
+select code, level, count(*) as n from old group by all"""
+ORACLE_SQL["json_documents"] = f"""with {MUT} select doc_id, case when doc_id % 40 not in (0, 10, 20) then supplier end as "supplier_BIN", case when doc_id % 40 not in (0, 10, 20) then buyer end as "recipient_BIN",
+case when doc_id % 40 not in (0, 10, 20) then written end as date_issue, case when doc_id % 40 not in (0, 10, 20) then total end as total_amount, case doc_id % 40 when 0 then 'JSON' when 20 then 'E' end as error from mut"""
+
+_ODD = ("nan", "inf", "-inf", "5", "12.0", "13", "1.5", "", "-3", "1 000,50")
+ORACLE_SQL["odd_totals"] = f"""with {INV}, tt as (select *, [{", ".join(map(_q, _ODD))}][doc_id % {len(_ODD)} + 1] as total, case when doc_id % 2 = 0 then supplier_bin else buyer_bin end as other from inv)
+select doc_id, 'BIN001' as code, 'OK' as level, supplier_bin as value from tt union all select doc_id, 'BIN002', 'OK', other from tt union all select doc_id, 'BIN007', 'OK', supplier_bin || '/' || other from tt
+union all select doc_id, 'D000', 'ERROR', '' from tt union all select doc_id, 'D001', 'OK', '' from tt
+union all select doc_id, case when total in ('nan', 'inf', '-inf') then '_rule_TOT001' else 'TOT001' end, case when total in ('13', '1.5', '1 000,50') then 'OK' else 'ERROR' end, case when total in ('nan', 'inf', '-inf', '5', '12.0', '') then null else total end from tt
+union all select doc_id, 'NEG001', 'WARN', total from tt where total in ('-inf', '-3')"""
+
+_PLACED = """keyed as (select *, case when code like 'BIN%' then 'BIN' when code like 'D%' then 'DATE' else 'SUM' end as group_key, case level when 'ERROR' then 3 when 'WARN' then 2 else 1 end as sev from res),
+ranked as (select *, case group_key when 'BIN' then 0 when 'DATE' then 1 else 2 end as place, row_number() over (partition by doc_id, group_key order by sev desc, case code when 'BIN012' then 0 when 'BIN001' then 1 when 'D000' then 0 when 'D001' then 1 when 'NEG001' then 0 else 999 end, ord) as k from keyed),
+vg as (select doc_id, group_key, min(ord) as first, count(*) filter (level = 'ERROR') as e, count(*) filter (level = 'WARN') as w, count(*) as n from keyed group by all),
+ver as (select doc_id, sum(e) as e, sum(w) as w, sum(n) as n, count(*) filter (e > 0) as bad, string_agg(group_key, ', ' order by first) filter (e > 0) as names from vg group by doc_id)"""
+ORACLE_SQL["report_details"] = f"""with {RES}, {_PLACED},
+u as (select doc_id, -1 as place, 0 as part, 0 as ord, case when e > 0 then '❌ Нужны исправления: ' || bad || ' категорий с ошибками (' || names || ')' when w > 0 then '⚠ Есть предупреждения (не блокирует отправку).' else '✅ Чики-пыки: критичных ошибок нет.' end as line from ver
+  union all select distinct doc_id, place, 1, 0, {_TITLE} from ranked
+  union all select doc_id, place, 2, 0, case level when 'ERROR' then '✖ Ошибка: ' when 'WARN' then '⚠ Предупреждение: ' else '☑ ОК: ' end || message from ranked where k = 1
+  union all select doc_id, place, 3, ord, '   • ' || message from ranked where k > 1
+  union all select doc_id, 9, 0, 0, '✅ ОК: ' || cast(n - e - w as bigint) || '   ⚠ Предупреждения: ' || cast(w as bigint) || '   ❌ Ошибки: ' || cast(e as bigint) from ver)
+select doc_id, cast(row_number() over (partition by doc_id order by place, part, ord) - 1 as integer) as line_no, line from u"""
+
+_EXTENDED = f"""
+it as (select cast(l_orderkey as bigint) as doc_id, cast(l_linenumber as bigint) as ln, cast(l_quantity as double) as q, cast(l_discount as double) as disc, cast(round(l_extendedprice * 100) as bigint) as cents, cast(round(l_tax * 100) as bigint) as rate from lineitem),
+li as (select doc_id, cents, rate, (doc_id + ln) % 67 = 0 as no_uom, (doc_id + ln) % 71 = 0 as no_qty_made, (doc_id + ln) % 73 = 0 as minus, (doc_id + ln) % 79 = 0 as long_price, (doc_id + ln) % 83 = 0 as deep, disc, q, (doc_id + ln) % 97 = 0 and doc_id % 89 <> 0 as bad_rate, doc_id % 89 = 0 as no_rate, (doc_id + ln) % 101 = 0 as plus from it),
+lc as (select doc_id, count(*) as n, sum(cents) as lines_cents, count(*) filter (no_rate) as no_rate, count(*) filter (rate = 0 and not no_rate and not bad_rate) as zero_rate, count(*) filter (bad_rate) as bad_rate, count(*) filter (plus and not no_rate and not bad_rate) as wrong_vat,
+  count(*) filter (no_qty_made or (not minus and q = 0)) as no_qty, count(*) filter (minus and not no_qty_made) as negative_qty, count(*) filter (no_uom) as no_uom, count(*) filter (long_price) as long_price, count(*) filter (deep or disc > 0) as discounted, count(*) filter (deep or disc > 0.5) as deep from li group by doc_id),
+o as (select cast(o_orderkey as bigint) as doc_id, cast(o_orderdate as date) as day, {_number("o_orderkey", 7919000017, 104729)} as own, {_number("o_custkey", 6700417003, 15485863)} as cust from orders),
+d as (select o.*, coalesce(n, 0) as n, coalesce(lines_cents, 0) as lc, coalesce(no_rate, 0) as no_rate, coalesce(zero_rate, 0) as zero_rate, coalesce(bad_rate, 0) as bad_rate, coalesce(wrong_vat, 0) as wrong_vat, coalesce(no_qty, 0) as no_qty, coalesce(negative_qty, 0) as negative_qty, coalesce(no_uom, 0) as no_uom,
+  coalesce(long_price, 0) as long_price, coalesce(discounted, 0) as discounted, coalesce(deep, 0) as deep,
+  case when o.doc_id % 37 = 0 then 0 when o.doc_id % 41 = 0 then -coalesce(lines_cents, 0) when o.doc_id % 7 = 0 then coalesce(lines_cents, 0) + 50 when o.doc_id % 7 = 1 then coalesce(lines_cents, 0) + 500 when o.doc_id % 7 = 2 then coalesce(lines_cents, 0) // 100 * 100 else coalesce(lines_cents, 0) end as tc,
+  case when o.doc_id % 17 = 0 then '№ 5/7' when o.doc_id % 17 = 1 then null when o.doc_id % 17 = 2 then 'inv-' || o.doc_id else 'INV-' || o.doc_id end as number,
+  case when o.doc_id % 19 = 0 then '12345' else own end as seller, case when o.doc_id % 23 = 0 then own else cust end as buyer, case when o.doc_id % 29 <> 0 then day end as dd,
+  case when o.doc_id % 43 = 0 then 'doc' when o.doc_id % 3 = 0 then 'pdf' else 'xls' end as fmt, o.doc_id % 31 = 0 as xxz, o.doc_id % 5 = 0 and o.doc_id % 31 <> 0 as usd from o left join lc on o.doc_id = lc.doc_id),
+dn as (select distinct number from d where number is not null)"""
+_CLOSE = _within("cast(tc as double) / 100.0::double", "cast(lc as double) / 100.0::double")
+_CUT = "tc % 100 = 0 and lc % 100 <> 0 and n > 0"
+_SAID = {
+    "F001": "fmt = 'doc'", "F002": "n = 0 or number is null", "F003": "fmt = 'pdf' and doc_id % 6 = 0", "D000": "dd is null", "D001": f"dd > date '{AS_OF}'", "D002": "dd not between date '1995-06-01' and date '2000-12-31'",
+    "N001": "number is null or number = '№ 5/7'", "ID001": "doc_id % 19 = 0", "ID002": "false", "ID003": "seller = buyer", "CUR001": "xxz", "CUR002": "(xxz or usd) and doc_id % 10 <> 0", "AMT001": "tc = 0", "NEG001": "tc < 0",
+    "TOT001": "n > 0 and lc <> tc", "TOT002": "n > 0 and abs(lc - tc) > 100", "ROUND001": f"{_CUT} and {_CLOSE}", "ROUND002": f"{_CUT} and not {_CLOSE}", "VAT001": "n > 0 and no_rate = n", "VAT002": "no_rate > 0 and no_rate < n",
+    "VAT003": "n > 0 and zero_rate = n", "VAT004": "bad_rate > 0", "QTY001": "no_qty > 0", "QTY002": "negative_qty > 0", "UOM001": "no_uom > 0", "PRICE002": "long_price > 0", "DISC001": "discounted > 0", "DISC002": "deep > 0",
+    "LINE001": "n = 0", "LINE002": "n > 1000", "REF001": "doc_id % 11 = 0", "REF002": "doc_id % 11 = 0 and 'INV-' || (doc_id + 1) not in (select number from dn)", "SIG001": "doc_id % 13 = 0", "SIG002": "doc_id % 13 = 1",
+    "META001": "doc_id % 59 = 0 or doc_id % 61 = 0", "META002": "doc_id % 61 = 0", "AUTH001": "doc_id % 47 = 0", "AUTH002": "doc_id % 53 = 0 and doc_id % 47 <> 0",
+}
+_LATER = {"TOT001": "lc <> tc", "VAT001": "wrong_vat > 0", "ID001": "number = '№ 5/7' or number like 'inv-%'", "ID002": "number is null", "AMT001": "tc <= 0", "NEG001": "tc < 0"}
+_FIRST_LEVELS = _values([(k, v[0]) for k, v in fixed.FIRST_CATALOGUE.items()], "code, level")
+
+
+def _declared(said: dict[str, str]) -> str:
+    return " union all ".join(f"select doc_id, '{code}' as code from d where {condition}" for code, condition in said.items())
+
+
+ORACLE_SQL["extended_rules"] = f"""with {_EXTENDED}, f as (select f.doc_id, f.code, l.level from ({_declared(_SAID)}) f join {_FIRST_LEVELS} l on f.code = l.code)
+select * from f union all select doc_id, 'SYS001', 'INFO' from d where doc_id not in (select doc_id from f where level in ('ERROR', 'WARN'))"""
+ORACLE_SQL["extended_rules_26"] = f"with {_EXTENDED} select doc_id, code, 'ERROR' as level from ({_declared(_LATER)})"
+_HASHES = ", ".join(f"{{'h': md5('42|' || doc_id || '|{c}'), 'code': '{c}'}}" for c in _CODES)
+ORACLE_SQL["line_mutations"] = f"""with l as (select cast(l_orderkey as bigint) as doc_id, cast(round(l_extendedprice * 100) as bigint) as cents, cast(round(l_tax * 100) as bigint) as rate from lineitem),
+s as (select doc_id, cast(sum(cents) as bigint) as cents, cast(sum((cents * rate + 50) // 100) as bigint) as vat from l group by doc_id),
+m as (select *, unnest(list_sort([{_HASHES}])[1:8]).code as mutation from s)
+select doc_id, mutation, case mutation when 'TOT003' then 0 when 'TOT001' then cents + 1000 when 'TOT004' then cents + 1 when 'AMT001' then null when 'NEG001' then -cents else cents end as total_cents,
+case mutation when 'TOT003' then 0 when 'NEG002' then -vat else vat end as vat_cents,
+case mutation when 'TOT003' then 0 when 'TOT002' then (95 * (cents + vat) + 50) // 100 when 'NEG001' then -cents + vat when 'NEG002' then cents - vat else cents + vat end as with_vat_cents from m"""

@@ -9,10 +9,13 @@ from kerege.functions import fixed
 from kerege.functions import scalars as S
 from kerege.operators import catalogue as C
 from kerege.operators import cells as X
+from kerege.operators import extended as E
 from kerege.operators import lines as N
 from kerege.operators import reports as R
 from kerege.operators import text_facts as T
 from kerege.operators import validation as V
+from kerege.settings import Settings
+from kerege.sources import files
 from kerege.sources import invoices as I
 
 AS_OF = I.AS_OF
@@ -171,7 +174,9 @@ def clean_text_key(spark, sf_dir):
 
 def header_similarity(spark, sf_dir):
     rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("key"), S.clean_key(F.col("p_name")).alias("name"))
-    return rows.select("key", F.round(S.header_similarity(F.col("name"), fixed.HEADER_ALIASES["total_amount"][3:5]), 6).alias("similarity"))
+    alike = lambda kind, least=0.0: F.round(S.header_similarity(F.col("name"), fixed.HEADER_ALIASES[kind], least), 6)
+    kinds = [k for k, aliases in fixed.HEADER_ALIASES.items() if aliases]
+    return rows.select("key", *[alike(k).alias(k) for k in kinds], (alike("total_amount", 0.3) >= 0.3).alias("alike"))
 
 
 def cell_neighbours(spark, sf_dir):
@@ -260,13 +265,72 @@ def report_text(spark, sf_dir):
     return R.report_lines(_results(spark, sf_dir))
 
 
+def report_details(spark, sf_dir):
+    """The report with all items, its groups' prefixes, order and best items configured."""
+    return R.report_lines(_results(spark, sf_dir), DETAILED)
+
+
+DETAILED = Settings(details=True, group_prefixes={"BIN": ["BIN"], "DATE": ["D"], "SUM": ["TOT", "NEG"]}, group_order={"BIN": 0, "DATE": 1, "SUM": 2}, group_best={"BIN": ["BIN012", "BIN001"], "DATE": ["D000", "D001"], "SUM": ["NEG001"]})
+
+
+def json_documents(spark, sf_dir):
+    """Mutated invoices as JSON files would have them (every tenth isn't JSON, or not an object, or says an error), read back."""
+    rows = I.documents(_mutated(spark, sf_dir))
+    k = F.col("doc_id") % 40
+    text = F.when(k == 0, "{broken").when(k == 10, "[1, 2]").when(k == 20, '{"error": "E"}').otherwise(F.to_json("fields"))
+    good, bad = files.json_documents(rows.select("doc_id", text.alias("text")))
+    names = ("supplier_BIN", "recipient_BIN", "date_issue", "total_amount")
+    found = good.select("doc_id", *[F.try_element_at("fields", F.lit(n)).alias(n) for n in names], F.lit(None).cast("string").alias("error"))
+    return found.unionByName(bad.select("doc_id", *[F.lit(None).cast("string").alias(n) for n in names], "error"))
+
+
+def sheet_rule_counts(spark, sf_dir):
+    """The rules on documents that are sheets alone."""
+    return R.rule_counts(V.results(V.checked(X.sheet_documents(_cells(spark, sf_dir)), AS_OF)))
+
+
+def legacy_rule_counts(spark, sf_dir):
+    """The rules of the older generation on mutated invoices."""
+    return R.rule_counts(V.results(V.legacy_checked(I.documents(_mutated(spark, sf_dir)), AS_OF)))
+
+
+def odd_totals(spark, sf_dir):
+    """Totals that are no numbers, not finite, table indexes or missing; equal numbers are allowed and checksums off."""
+    base = I.invoices(spark, sf_dir)
+    total = F.element_at(F.array(*map(F.lit, ODD_TOTALS)), (F.col("doc_id") % len(ODD_TOTALS) + 1).cast("int"))
+    fields = F.create_map(F.lit("supplier_BIN"), F.col("supplier_bin"), F.lit("recipient_BIN"), F.when(F.col("doc_id") % 2 == 0, F.col("supplier_bin")).otherwise(F.col("buyer_bin")), F.lit("total_amount"), total)
+    docs = base.select("doc_id", fields.alias("fields"), F.lit(None).cast("string").alias("raw_text"))
+    found = V.results(V.checked(docs, AS_OF, settings=Settings(checksum=False, allow_equal_bins=True)))
+    return found.select("doc_id", "code", "level", "value")
+
+
+ODD_TOTALS = ("nan", "inf", "-inf", "5", "12.0", "13", "1.5", "", "-3", "1 000,50")
+
+
+def extended_rules(spark, sf_dir):
+    """The declared rules of the first catalogue on invoices with lines."""
+    docs, lines = I.extended(spark, sf_dir)
+    return E.findings(docs, lines, AS_OF, ("1995-06-01", "2000-12-31")).select("doc_id", "code", "level")
+
+
+def extended_rules_26(spark, sf_dir):
+    """The rules that a later catalogue defines anew."""
+    docs, lines = I.extended(spark, sf_dir)
+    return E.findings(docs, lines, AS_OF, ("1995-06-01", "2000-12-31"), version="v2.6").where(F.col("code").isin(list(E.VERSIONS["v2.6"]))).select("doc_id", "code", "level")
+
+
+def line_mutations(spark, sf_dir):
+    """Totals after the mutations of lines, in cents, of each mutation that the seed chooses for a base document."""
+    return I.line_mutations(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         invoice_base, bin_clean, bin_strict_vs_lenient, bin_checksum, parse_number_variants, parse_date_variants, excel_serial_dates, rule_results_long, rule_counts, group_report,
         doc_verdict, doc_summary, text_bin_extract, text_date_extract, text_total_priority, text_total_scored, pdf_facts, text_rule_counts, esf_section, mojibake_fix, clean_text_key,
         header_similarity, cell_neighbours, cell_bin_label, cell_bin_context, cell_dates, cell_totals, doc_type_keywords, line_total_check, line_qty_price_check, line_vat_check,
-        tolerance_check, mutation_truth, confusion_matrix, catalog_add, catalog_remove, catalog_sync, normalize_keys_map, report_text,
+        tolerance_check, mutation_truth, confusion_matrix, catalog_add, catalog_remove, catalog_sync, normalize_keys_map, report_text, report_details, json_documents, sheet_rule_counts, legacy_rule_counts, odd_totals, extended_rules, extended_rules_26, line_mutations,
     )
 }
 QUERIES |= {f"rule_{code.lower()}": _rule(code) for code in fixed.CATALOGUE}

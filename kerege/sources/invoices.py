@@ -92,3 +92,81 @@ def cells(base: DataFrame) -> DataFrame:
     ]
     rows = [F.when(F.col("doc_id") % 3 == k, F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), text(v).alias("v")) for r, c, v in layout])) for k, layout in enumerate(layouts)]
     return base.select("doc_id", F.explode(F.coalesce(*rows)).alias("x")).select("doc_id", "x.r", "x.c", "x.v")
+
+
+def extended(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with the fields of the extended rules, and their lines, with flaws by remainders of the key; orders without lines stay."""
+    k = F.col("o_orderkey").cast("bigint")
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_orderkey").cast("bigint").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("line"), F.col("l_quantity").cast("double").alias("qty"), F.col("l_discount").cast("double").alias("discount"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), F.round(F.col("l_tax") * 100).cast("bigint").alias("rate"),
+    )
+    at = lambda n: (F.col("doc_id") + F.col("line")) % n == 0
+    lines = items.select(
+        "doc_id",
+        F.when(at(67), "").otherwise("усл").alias("uom"),
+        F.when(at(71), 0.0).when(at(73), -1.0).otherwise(F.col("qty")).alias("qty"),
+        F.when(at(79), F.col("cents") / 100 + 0.001).otherwise(F.col("cents") / 100).alias("price"),
+        F.when(at(83), 0.6).otherwise(F.col("discount")).alias("discount"),
+        F.when(F.col("doc_id") % 89 == 0, None).when(at(97), "x").otherwise(F.col("rate").cast("string")).alias("vat_rate"),
+        "cents",
+        (F.expr("(cents * rate + 50) div 100") + F.when(at(101), 1).otherwise(0)).alias("vat_cents"),
+    )
+    totals = items.groupBy("doc_id").agg(F.sum("cents").alias("cents"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("doc_id"), F.col("o_custkey").cast("bigint").alias("custkey"), F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd").alias("day"))
+    rows = orders.join(totals, "doc_id", "left").withColumn("cents", F.coalesce("cents", F.lit(0)))
+    n = lambda m, r=0: F.col("doc_id") % m == r
+    cents, seller = F.col("cents"), numbered(F.col("doc_id"), 7919000017, 104729)
+    docs = rows.select(
+        "doc_id",
+        F.when(n(43), "doc").when(n(3), "pdf").when(n(3, 1), "XLSX").otherwise("xls").alias("format"),
+        F.when(n(6), None).otherwise("x").alias("raw_text"),
+        F.when(n(17), "№ 5/7").when(n(17, 1), None).when(n(17, 2), F.concat(F.lit("inv-"), "doc_id")).otherwise(F.concat(F.lit("INV-"), "doc_id")).alias("number"),
+        F.when(n(19), "12345").otherwise(seller).alias("seller_id"),
+        F.when(n(23), seller).otherwise(numbered(F.col("custkey"), 6700417003, 15485863)).alias("buyer_id"),
+        F.when(n(29), "31.13.2000").otherwise(F.col("day")).alias("issue_date"),
+        F.when(n(31), "XXZ").when(n(5), "usd").otherwise("KZT").alias("currency"),
+        F.when(n(10), "450.5").alias("rate"),
+        F.when(n(37), "0").when(n(41), money_text(-cents)).when(n(7), money_text(cents + 50)).when(n(7, 1), money_text(cents + 500)).when(n(7, 2), F.floor(cents / 100).cast("string")).otherwise(money_text(cents)).alias("total"),
+        F.when(n(11), F.concat(F.lit("INV-"), F.col("doc_id") + 1)).alias("reference"),
+        F.when(n(13), None).otherwise("S").alias("signature"),
+        F.when(n(13, 1), "1990-01-01").otherwise("2030-01-01").alias("signed_until"),
+        F.when(n(47), " ").otherwise("A").alias("signer"),
+        F.when(n(53), "B").otherwise("A").alias("director"),
+        F.when(n(59), "1").alias("debug"),
+        F.when(n(61), "true").alias("test"),
+    )
+    return docs, lines
+
+
+#: Mutations that one base document gets.
+PER_BASE = 8
+
+
+def chosen_mutations(base: DataFrame, per_base: int = PER_BASE, seed: int = 42) -> DataFrame:
+    """doc_id, mutation: for each base document so many different mutations, those with the least hashes of seed, document and code (then the code)."""
+    scored = F.array(*[F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), "doc_id", F.lit(m[0]))).alias("h"), F.lit(m[0]).alias("code")) for m in fixed.MUTATIONS])
+    first = F.slice(F.array_sort(scored), 1, per_base)
+    return base.select("doc_id", F.explode(first).alias("x")).select("doc_id", F.col("x.code").alias("mutation"))
+
+
+def line_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, mutation, total_cents, vat_cents, with_vat_cents: totals as the chosen mutations leave them; those of lines and of totals change them.
+
+    NEG001 and NEG002 turn the lines' amounts or VAT negative and add up anew, TOT002 takes five percent off the total with VAT.
+    """
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").cast("bigint").alias("doc_id"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), F.round(F.col("l_tax") * 100).cast("bigint").alias("rate"))
+    vat = F.expr("(cents * rate + 50) div 100")
+    sums = items.groupBy("doc_id").agg(F.sum("cents").alias("cents"), F.sum(vat).alias("vat"), F.sum(-F.abs("cents")).alias("minus_cents"), F.sum(-F.abs(vat)).alias("minus_vat"))
+    rows = sums.join(chosen_mutations(sums), "doc_id")
+    is_ = lambda *codes: F.col("mutation").isin(*codes)
+    total = F.when(is_("NEG001"), F.col("minus_cents")).otherwise(F.col("cents"))
+    tax = F.when(is_("NEG002"), F.col("minus_vat")).otherwise(F.col("vat"))
+    whole = total + tax
+    return rows.select(
+        "doc_id",
+        "mutation",
+        F.when(is_("TOT003"), 0).when(is_("TOT001"), total + 1000).when(is_("TOT004"), total + 1).when(is_("AMT001"), None).otherwise(total).alias("total_cents"),
+        F.when(is_("TOT003"), 0).otherwise(tax).alias("vat_cents"),
+        F.when(is_("TOT003"), 0).when(is_("TOT002"), F.expr("(95 * (cents + vat) + 50) div 100")).otherwise(whole).alias("with_vat_cents"),
+    )
