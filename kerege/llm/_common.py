@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import re
 import tempfile
@@ -62,6 +63,21 @@ def dropped(df: DataFrame | None) -> None:
         _deleted(df.sparkSession, path)
 
 
+#: Columns that operators on whole rows read by name.
+_READ = ("doc_id", "text", "lang", "source")
+
+
+def keeps_names(run):
+    """For functions from docs to some of its rows: whatever other columns are called, the function sees neutral names, and its result has the old ones."""
+
+    @functools.wraps(run)
+    def plain(docs: DataFrame, *args, **more) -> DataFrame:
+        neutral = docs.toDF(*[n if n in _READ else f"c{k}" for k, n in enumerate(docs.columns)])
+        return run(neutral, *args, **more).toDF(*docs.columns)
+
+    return plain
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

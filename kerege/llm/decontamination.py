@@ -9,7 +9,7 @@ them, if it has fewer) agree in a SHARE of the places.
 No such document is missed: wherever the allowed substitutions stand in WINDOW words, one of SEEDS lies clear of them at some place
 (the tests try all 286 placings). An item of n < WINDOW words with s allowed substitutions has n // (s + 1) words in a row without
 one, and its seeds are all its runs of that length; the documents' runs are hashed only for lengths that the benchmark has.
-OP4_SQL stays with MASKS over SPAN, three longer masks that miss some placings and all items of fewer words than SPAN: it can find less.
+OP4_SQL has the same seeds.
 
 The benchmark's seeds are broadcast if it has at most BROADCAST_WORDS words (about 50 bytes a seed); a larger one is
 joined by shuffle.
@@ -22,13 +22,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerege.llm._common import written
+from kerege.llm._common import keeps_names, written
 
-#: Fixed masks of the operator; 1 marks a place that counts.
+#: Fixed masks; 1 marks a place that counts.
 SEEDS = ("111011", "1100001011", "110111")
-#: Masks of the SQL.
-MASKS = ("1101100101", "1010110011", "1110010011")
-SPAN = 10
 WINDOW = 13
 SHARE = 0.75
 BROADCAST_WORDS = 300_000
@@ -99,10 +96,11 @@ def contaminated_items(docs: DataFrame, benchmark: DataFrame, broadcast_words: i
     return found.groupBy("doc_id", "item_id").agg(F.max(F.expr(f"cast({_COUNT} as bigint)")).alias("overlap"))
 
 
+@keeps_names
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without those that hold benchmark passages, with all their columns; rows that repeat a doc_id go together."""
     gone = contaminated_items(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs.doc_id.cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone, docs.doc_id.cast("long").eqNullSafe(gone["__gone"]), "left_anti")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -123,19 +121,23 @@ def op4_spaced_seeds(spark, sf_dir: str) -> DataFrame:
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def _sql_key(m: int, words: str, at: str) -> str:
-    return f"concat_ws(' ', '{m}', " + ", ".join(f"{words}[{at} + {k + 1}]" for k in range(SPAN) if MASKS[m][k] == "1") + ")"
+def _sql_key(mask: str) -> str:
+    kept = ", ".join(f"ws[i + {k + 1}]" for k in range(len(mask)) if mask[k] == "1")
+    return f"case when i + {len(mask)} <= len(ws) then concat_ws(' ', '{mask}', {kept}) end"
 
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
-_KEYS = "[" + ", ".join(_sql_key(m, "ws", "i") for m in range(len(MASKS))) + "]"
+_KEYS = "[" + ", ".join(map(_sql_key, SEEDS)) + "]"
+_RUN = f"(len(ws) // (len(ws) - cast(ceil({SHARE} * len(ws)) as bigint) + 1))"
+_RUN_KEY = "'run ' || array_to_string(ws[i + 1:i + run], ' ')"
 OP4_SQL = f"""
 with d as (select doc_id, {_WORDS} as ws from documents),
 b as (select item_id, {_WORDS} as ws from benchmark where text is not null),
-dp as (select doc_id, ws, unnest(range(0, len(ws) - {SPAN - 1})) as i from d where len(ws) >= {SPAN}),
-bp as (select item_id, ws, unnest(range(0, len(ws) - {SPAN - 1})) as i from b where len(ws) >= {SPAN}),
-dk as (select doc_id, i, unnest({_KEYS}) as k from dp),
-bk as (select item_id, i, unnest({_KEYS}) as k from bp),
+short as (select item_id, ws, {_RUN} as run from b where len(ws) between 1 and {WINDOW - 1}),
+dp as (select doc_id, ws, unnest(range(0, len(ws))) as i from d),
+bp as (select item_id, ws, unnest(range(0, len(ws))) as i from b where len(ws) >= {WINDOW}),
+dk as (select doc_id, i, unnest({_KEYS}) as k from dp union all select doc_id, i, {_RUN_KEY} from dp, (select distinct run from short) where i + run <= len(ws)),
+bk as (select item_id, i, unnest({_KEYS}) as k from bp union all select item_id, i, {_RUN_KEY} from (select *, unnest(range(0, len(ws) - run + 1)) as i from short)),
 h as (select distinct doc_id, item_id, dk.i - bk.i as s from dk join bk on dk.k = bk.k),
 a as (select h.doc_id, h.item_id, list_transform(range(1, len(b.ws) + 1), lambda j: case when s + j >= 1 and s + j <= len(d.ws) and d.ws[s + j] = b.ws[j] then 1 else 0 end) as agree
   from h join d on h.doc_id = d.doc_id join b on h.item_id = b.item_id),

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerege.llm._common import SPACES, dropped, word_list, written
+from kerege.llm._common import SPACES, dropped, keeps_names, word_list, written
 
 MIN_WORDS = 50
 MAX_REPEAT = 50
@@ -227,6 +227,7 @@ def judged(docs: DataFrame) -> DataFrame:
     return near.select(*names, "distance", (F.col("distance") <= CUTOFF).alias("kept")).unionByName(bad)
 
 
+@keeps_names
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns. Rows that repeat a doc_id stay if one of them is kept."""
     kept = judged(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()

@@ -1,5 +1,9 @@
 """Substring dedup by recompression.
 
+The rounds need no table of names: a name is a hash of what it stands for, so all partitions name alike, and what would be a Spark round of
+naming is a pass over an array. Runs are renamed in the first round alone (later rounds only pair), as a run's context reaches over its neighbours and soon
+over more than WINDOW words.
+
 Words get names (64-bit hashes); rounds then rename maximal runs of one name, and pairs of a name of the left half of the
 alphabet followed by one of the right half, halves being drawn anew by a hash in every round. A name
 is a hash of the names it stands for, so it is the same in all partitions without a table of names, and equal
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerege.llm._common import dropped, written
+from kerege.llm._common import dropped, keeps_names, written
 from kerege.shipping import ship_package
 
 WINDOW = 13
@@ -252,15 +256,16 @@ def _texts(window: int):
 
 def _with_starts(docs: DataFrame, window: int) -> DataFrame:
     starts = repeated_windows(docs, window).select(*[F.col(a).alias(b) for a, b in (("doc_id", "__doc"), ("text_hash", "__hash"), ("starts", "__starts"), ("whole", "__whole"))])
-    return docs.join(starts, (docs.doc_id == F.col("__doc")) & (F.xxhash64(docs.text) == F.col("__hash")), "left").drop("__doc", "__hash")
+    return docs.join(starts, (docs.doc_id == starts["__doc"]) & (F.xxhash64(docs.text) == starts["__hash"]), "left").drop(starts["__doc"], starts["__hash"])
 
 
+@keeps_names
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with every word cut that stands in a window of `window` words which also starts in a document of smaller doc_id.
 
     All columns stay; texts that lose words have the others joined by one space, other texts stay as they are (null
     too). Windows are judged on the input. Rows that repeat a doc_id aren't each other's
-    source, as none has the smaller one; rows without doc_id neither lose words nor are a source.
+    source, as none has the smaller one; rows without doc_id neither lose words nor are a source. An empty table gives an empty one.
     """
     joined = _with_starts(docs, window)
     return joined.mapInArrow(_texts(window), docs.schema)

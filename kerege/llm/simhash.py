@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerege.llm import near_copies
-from kerege.llm._common import LOWER, written
+from kerege.llm._common import LOWER, keeps_names, written
 from kerege.llm._graph import connected_components
 from kerege.shipping import ship_package
 
@@ -240,6 +240,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     return rows.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+@keeps_names
 def deduplicated(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY, each_text: bool = False) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest doc_id; all columns stay.
 

@@ -43,3 +43,40 @@ def test_against_all_alignments(spark):
             docs.append((len(docs), " ".join(before + copy + [f"f{rng.randrange(50)}" for _ in range(rng.choice([0, 4]))])))
     got = dc.contaminated_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(tuple(r) for r in got.select("doc_id", "item_id", "overlap").collect()) == slow_items(docs, items)
+
+
+SCHEMA = "doc_id long, text string, __gone string, item_id string, __words long, overlap string"
+
+
+def test_odd_rows(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(1, None, "g", "x", 1, "o"), (2, "", None, None, None, None), (3, f"before {item} after", "g", None, 1, None), (3, "quite other words", None, None, None, None), (None, item.upper(), None, None, None, None), (4, "word " * 100_000 + item, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    items = spark.createDataFrame([(7, item, 1), (5, item, 1), (8, None, 1), (None, "nothing of it is there", 1), (9, "", 1)], "item_id long, text string, doc_id long")
+    got = {r.doc_id: (r.contaminated, r.item_id, r.overlap, r.n_items) for r in dc.report(docs, items).collect()}
+    hit, none = (True, 5, 14, 2), (False, None, None, 0)
+    assert got == {1: none, 2: none, 3: hit, None: hit, 4: hit}
+    kept = dc.decontaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    assert dc.decontaminated(docs, items.where("false")).count() == 6 and dc.report(docs.where("false"), items).collect() == []
+    assert not any(r.contaminated for r in dc.report(docs, items.where("text is null")).collect())
+
+
+def test_a_large_benchmark_is_joined_by_shuffle(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    one, two = (sorted(tuple(r) for r in dc.contaminated_items(docs, items, n).collect()) for n in (300_000, 10))
+    assert one == two and one
+
+
+def test_recall_of_substitutions(spark, sf):
+    """Passages of 13 words with 1 to 3 substitutions, one in each of the items: all are found."""
+    rng = random.Random(8)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = []
+    for k, (_, text) in enumerate(items):
+        words = [w for w in __import__("re").findall(r"[^\W_]+", text.lower())][:13]
+        for place in rng.sample(range(13), 1 + k % 3):
+            words[place] = f"sub{rng.randrange(99)}"
+        docs.append((k, "some words in front " + " ".join(words) + " and behind"))
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all((k, item) in got for k, (item, _) in enumerate(items))
