@@ -92,7 +92,7 @@ def test_settings(tmp_path):
 
 
 def test_settings_change_what_is_found(spark):
-    text = "СЧЕТ-ФАКТУРА № 1\nСумма: 200 000,00\nАкт\nИтого с НДС: 50,00"
+    text = "СЧЕТ-ФАКТУРА № 1\nСумма: 200 000,00\nАкт\nИтого: 50,00"
     docs = spark.createDataFrame([(1, {"supplier_BIN": "1", "recipient_BIN": "1"}, text)], "doc_id long, fields map<string,string>, raw_text string")
     total = lambda **a: {r.code: (r.level, r.value) for r in V.results(V.checked(docs, "2025-01-01", settings=settings.Settings(**a))).collect()}
     assert total()["TOT001"] == ("OK", "50,00") and total()["BIN007"][0] == "WARN"
