@@ -3,7 +3,8 @@
 Documents are cut into pieces of at most `capacity` tokens. Pieces are dealt by hash into blocks of about BLOCK pieces, so
 a block is a fair sample of the lengths whatever repeats. Each block is evolved on ISLANDS islands, one Spark
 group each: a solution is a list of bins; crossover injects whole well-filled bins of one parent into the other, drops the
-bins that hold the same pieces, and best-fits the displaced ones; mutation empties the least filled bins. After each
+bins that hold the same pieces, swaps displaced pieces for smaller ones where that fills a bin better, and best-fits the
+displaced ones; mutation empties the least filled bins and a few others. After each
 epoch every island sends its elite to the next one in the ring. The fewest bins of a block win. The least filled bins of
 all blocks are opened again and packed once more across blocks, so what is lost at the blocks' edges is small.
 An island stops once it has as few bins as the total length allows.
@@ -31,8 +32,10 @@ END = 0
 BLOCK = 4096
 ISLANDS = 2
 EPOCHS = 2
-STEPS = 16
+STEPS = 24
 POPULATION = 5
+#: Bins, and displaced pieces, that one crossover or mutation looks at for swaps.
+SWAPS = 200
 #: Share of a block's bins, the least filled ones, that is packed again across blocks.
 OPEN = 0.05
 #: Chunks whose ids a worker keeps; when they are more, it starts anew (speed alone depends on it).
@@ -176,6 +179,32 @@ def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[i
     return -len(bins), sum((sum([lengths[i] for i in b]) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
+def replaced(bins: list[list[int]], loose: list[int], lengths: list[int], capacity: int, rng: random.Random) -> list[int]:
+    """Swap displaced items for one or two smaller ones of a bin that they fill better; changes the bins, returns what is displaced then.
+
+    Small items are easier to place afterwards, so each swap leaves best fit an easier rest. SWAPS bins and items are looked at.
+    """
+    loose = sorted(loose, key=lengths.__getitem__, reverse=True)
+    for b in rng.sample(range(len(bins)), min(len(bins), SWAPS)):
+        items = bins[b]
+        room = capacity - sum([lengths[i] for i in items])
+        if not room or not loose:
+            continue
+        sets = [(lengths[i], (i,)) for i in items] + [(lengths[i] + lengths[j], (i, j)) for k, i in enumerate(items[:12]) for j in items[:k]]
+        best = None
+        for at in range(min(len(loose), SWAPS)):
+            n = lengths[loose[at]]
+            for size, out in sets:
+                if 0 < n - size <= room and (best is None or n - size > best[0]):
+                    best = (n - size, at, out)
+            if best and best[0] == room:
+                break
+        if best:
+            bins[b] = [i for i in items if i not in best[2]] + [loose.pop(best[1])]
+            loose = sorted([*loose, *best[2]], key=lengths.__getitem__, reverse=True)
+    return loose
+
+
 def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Inject a run of b's well-filled bins into a, drop a's bins that hold any of their items, best-fit what these held besides."""
     full = sorted(b, key=lambda x: -sum([lengths[i] for i in x]))[: max(1, len(b) // 2)]
@@ -189,6 +218,7 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capaci
             kept.append(list(x))
         else:
             loose += [i for i in x if i not in gone]
+    loose = replaced(kept, loose, lengths, capacity, rng)
     bins = Bins(capacity, kept, lengths)
     bins.fit(loose)
     return bins.bins
@@ -197,11 +227,12 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capaci
 def mutated(bins: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Empty the least filled bin and a few others, and best-fit their items in a shuffled order of bins."""
     order = sorted(range(len(bins)), key=lambda k: sum([lengths[i] for i in bins[k]]))
-    out = set(order[: 1 + len(bins) // 50]) | {rng.randrange(len(bins)) for _ in range(1 + len(bins) // 50)}
+    out = set(order[: 1 + len(bins) // 50]) | {rng.randrange(len(bins)) for _ in range(2 + len(bins) // 50)}
     kept = [list(x) for k, x in enumerate(bins) if k not in out]
     rng.shuffle(kept)
+    loose = replaced(kept, [i for k in out for i in bins[k]], lengths, capacity, rng)
     found = Bins(capacity, kept, lengths)
-    found.fit([i for k in out for i in bins[k]])
+    found.fit(loose)
     return found.bins
 
 
