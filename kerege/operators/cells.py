@@ -29,8 +29,24 @@ def neighbours(anchors: DataFrame, cells: DataFrame, offsets: list[tuple[int, in
     return moved.join(other, (F.col("doc_id") == F.col("__d")) & (F.col("r2") == F.col("__r")) & (F.col("c2") == F.col("__c"))).drop("__d", "__r", "__c")
 
 
+def around(anchors: DataFrame, cells: DataFrame, reach: int) -> DataFrame:
+    """anchors with r2, c2, v2: cells at most `reach` rows and columns away, themselves included.
+
+    The sheet is cut into blocks as wide as the window; a window lies on four of them at most, so an anchor is copied
+    four times and not once for each place of its window, and the join is on the block.
+    """
+    side = 2 * reach + 1
+    block = lambda x: F.floor(x / side)
+    touched = lambda c: F.array_distinct(F.array(block(F.col(c) - reach), block(F.col(c) + reach)))
+    moved = anchors.withColumn("__br", F.explode(touched("r"))).withColumn("__bc", F.explode(touched("c")))
+    other = cells.select(F.col("doc_id").alias("__d"), block(F.col("r")).alias("__r"), block(F.col("c")).alias("__c"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("v").alias("v2"))
+    joined = moved.join(other, (F.col("doc_id") == F.col("__d")) & (F.col("__br") == F.col("__r")) & (F.col("__bc") == F.col("__c")))
+    return joined.where((F.abs(F.col("r") - F.col("r2")) <= reach) & (F.abs(F.col("c") - F.col("c2")) <= reach)).drop("__d", "__r", "__c", "__br", "__bc")
+
+
 _LABEL_OFFSETS = [(0, 0), *[(0, k) for k in range(1, 9)], *[(k, 0) for k in range(1, 5)]]
-_WINDOW = [(a, b) for a in range(-3, 4) for b in range(-3, 4)]
+#: Rows and columns around a number that say whose it is.
+REACH = 3
 _NUMBER_OFFSETS = [(0, 0), *[(0, k) for k in range(1, 6)], *[(k, 0) for k in range(1, 4)]]
 
 
@@ -47,7 +63,7 @@ def labelled_bins(cells: DataFrame) -> DataFrame:
 def bins_in_context(cells: DataFrame) -> DataFrame:
     """doc_id, r, c, bin, key: each valid number with the key of the cells within three rows and columns, in reading order."""
     numbers = cells.where(is_strict_bin(F.col("v"))).select("doc_id", "r", "c", "v")
-    near = neighbours(numbers, cells, _WINDOW).where(clean_text(F.col("v2")) != "")
+    near = around(numbers, cells, REACH).where(clean_text(F.col("v2")) != "")
     # at most 49 cells a number
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r2", "c2", F.lower(clean_text(F.col("v2"))).alias("t")))), lambda x: x["t"]), " ")
     return near.groupBy("doc_id", "r", "c", "v").agg(text.alias("context")).select("doc_id", "r", "c", only_digits(F.col("v")).alias("bin"), clean_key(F.col("context")).alias("key"))
