@@ -71,16 +71,27 @@ def is_bin(text: Column) -> Column:
 
 def checksum_holds(text: Column) -> Column:
     """The mod-11 check digit of a 12-digit number: weights from 1, and from 3 where those give 10; false for other lengths."""
-    return number_holds(F.when(F.length(only_digits(text)) == 12, only_digits(text).try_cast("bigint")))
+    return bound(identifier_number(text), _holds)
 
 
-def number_holds(number: Column) -> Column:
-    """checksum_holds of a number as a long; false for null. Digits are told by division, which stays in generated code."""
+def identifier_number(text: Column) -> Column:
+    """The 12 digits of a business number as a long; null for other lengths."""
+    return bound(only_digits(text), lambda d: F.when(F.length(d) == 12, d.try_cast("bigint")))
+
+
+def _holds(number: Column) -> Column:
     at = lambda k: F.call_function("div", number, F.lit(10 ** (12 - k))) % 10
     weighted = lambda first: sum((at(k) * (k + first - 1) for k in range(2, 12)), at(1) * first) % 11
     return F.coalesce(F.when(weighted(1) != 10, weighted(1)).otherwise(weighted(3)) == at(12), F.lit(False))
 
 
+def holds_sql(number: str) -> str:
+    """checksum_holds as SQL text for a long, null giving false. Digits are told by division, which stays in generated code; one text is parsed faster than its parts are put together."""
+    at = lambda k: f"(({number} div {10 ** (12 - k)}) % 10)"
+    weighted = lambda first: "((" + " + ".join(f"{at(k)} * {k + first - 1}" for k in range(1, 12)) + ") % 11)"
+    return f"coalesce(if({weighted(1)} <> 10, {weighted(1)}, {weighted(3)}) = {at(12)}, false)"
+
+
 def parse_date_exact(text: Column) -> Column:
     """A date if the whole text is one of five numeric forms."""
     plain = stripped(text)
@@ -157,21 +168,20 @@ def plain_key(text: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^\w\s]+", " ", key)).strip()
 
 
-def header_similarity(key: Column, aliases: list[str], at_least: float = 0.0) -> Column:
-    """Share of places at which a header's key (made by clean_key, as a column of its own) has the alias's character; the best alias counts.
+def header_similarity(key: str, aliases: list[str], at_least: float = 0.0) -> Column:
+    """Share of places at which a header's key (the name of a column made by clean_key) has the alias's character; the best alias counts.
 
     Shares under at_least may come out as 0: aliases that are too long or too short for it aren't compared.
     """
-    if not aliases:
-        return F.lit(0.0)
-    out, n = [], F.length(key)
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    out = ["0.0D"]
     for alias in map(plain_key, aliases):
-        same = sum((F.when(F.substring(key, k + 1, 1) == c, 1).otherwise(0) for k, c in enumerate(alias)), F.lit(0))
-        share = F.when(key == alias, F.lit(1.0)).otherwise(same / F.greatest(n, F.lit(max(1, len(alias)))))
+        same = " + ".join(["0", *[f"if(substring({key}, {k + 1}, 1) = {quoted(c)}, 1, 0)" for k, c in enumerate(alias)]])
+        share = f"if({key} = {quoted(alias)}, 1.0D, ({same}) / greatest(length({key}), {max(1, len(alias))}))"
         if at_least > 0:
-            share = F.when(n.between(math.ceil(at_least * len(alias)), math.floor(len(alias) / at_least)), share).otherwise(F.lit(0.0))
+            share = f"if(length({key}) between {math.ceil(at_least * len(alias))} and {math.floor(len(alias) / at_least)}, {share}, 0.0D)"
         out.append(share)
-    return F.greatest(*out, F.lit(0.0))
+    return F.expr("greatest(0.0D, " + ", ".join(out) + ")")
 
 
 def cyrillic_count(text: Column) -> Column:

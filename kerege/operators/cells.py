@@ -99,10 +99,10 @@ def cell_dates(cells: DataFrame, kind: str = "issue_date", aliases: dict[str, li
     """doc_id, issue_date (ISO): the first date in reading order beside or under a like header, or in a cell that names an invoice."""
     dated = cells.select("doc_id", "r", "c", "v", parse_date_found(F.col("v")).alias("day")).where("day is not null")
     beside = neighbours(dated, cells, [(0, -1), (-1, 0)]).withColumn("key", clean_key(F.col("v2")))
-    alike = lambda name: F.max(header_similarity(F.col("key"), aliases[name], DATE_SHARE))
+    alike = lambda name: F.max(header_similarity("key", aliases[name], DATE_SHARE))
     scores = beside.groupBy("doc_id", "r", "c").agg(alike("issue_date").alias("issue"), alike("turnover_date").alias("turnover"))
     rows = dated.join(scores, ["doc_id", "r", "c"], "left").fillna(0.0, ["issue", "turnover"]).withColumn("key", clean_key(F.col("v")))
-    own = (header_similarity(F.col("key"), aliases["issue_date"], DATE_SHARE) >= DATE_SHARE) | has_token(F.col("key"), fixed.INVOICE_WORDS)
+    own = (header_similarity("key", aliases["issue_date"], DATE_SHARE) >= DATE_SHARE) | has_token(F.col("key"), fixed.INVOICE_WORDS)
     hit = (F.col("issue") >= DATE_SHARE) | ((F.col("turnover") < DATE_SHARE) & own) if kind == "issue_date" else F.col("turnover") >= DATE_SHARE
     return rows.where(hit).groupBy("doc_id").agg(F.date_format(F.min_by("day", F.struct("r", "c")), "yyyy-MM-dd").alias(kind))
 
@@ -115,7 +115,7 @@ def cell_totals(cells: DataFrame, prefer: str = "gross", aliases: dict[str, list
     kinds = [k for k in aliases if k.startswith("total")]
     # aliases hold letters in all but a few places, so cells without a letter are no labels
     keyed = cells.where(F.col("v").rlike(r"\p{L}")).select("doc_id", "r", "c", clean_key(F.col("v")).alias("key"))
-    tagged = keyed.withColumn("kind", F.explode(F.array_compact(F.array(*[F.when(header_similarity(F.col("key"), aliases[k], share) >= share, k) for k in kinds])))).drop("key")
+    tagged = keyed.withColumn("kind", F.explode(F.array_compact(F.array(*[F.when(header_similarity("key", aliases[k], share) >= share, k) for k in kinds])))).drop("key")
     raw = F.replace(F.replace(F.regexp_extract(F.lower(clean_text(F.col("v2"))), r"(-?\d[\d\s,.]*)", 1), F.lit(" "), F.lit("")), F.lit(","), F.lit("."))
     near = neighbours(tagged, cells, _NUMBER_OFFSETS).withColumn("amount", raw.try_cast("double")).where("amount is not null")
     # the labels' few neighbours move once, by document; the three aggregations then stay where they are

@@ -1,6 +1,6 @@
 """Documents to rule results: normalised fields, facts from fields or text, rules, messages, order.
 
-Input everywhere: documents (doc_id, fields map<string,string>, raw_text). Each document is one row from start to results, so nothing moves
+Input everywhere: documents (doc_id, fields map<string,string>, raw_text); without the column raw_text no plan for texts is made. Each document is one row from start to results, so nothing moves
 between tasks until results are grouped.
 
 Items are taken apart by outer explodes and then filtered: for a plain explode the optimizer infers a filter on the array's size and
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerege.functions import fixed
-from kerege.functions.scalars import bound, checksum_holds, esf_section, first_of, fix_mojibake, is_bin, parse_date_exact, parse_date_found, parse_number, stripped, to_iso
+from kerege.functions.scalars import bound, esf_section, first_of, fix_mojibake, holds_sql, identifier_number, is_bin, parse_date_exact, parse_date_found, parse_number, stripped, to_iso
 from kerege.operators.text_facts import text_bin, text_date, text_total
 from kerege.settings import Settings
 
@@ -70,36 +70,39 @@ def normalized(docs: DataFrame) -> DataFrame:
 
 def with_texts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """docs with full_text (repaired) and section_text; each is made once for each document."""
+    if "raw_text" not in docs.columns:
+        return docs.withColumns({"full_text": F.lit(""), "section_text": F.lit("")})
     repaired = docs.withColumn("full_text", F.when(F.coalesce("raw_text", F.lit("")) == "", F.lit("")).otherwise(fix_mojibake(F.col("raw_text"))))
     told = settings or Settings()
     section = esf_section(F.col("full_text"), told.section_headers) if told.prefer_section else F.col("full_text")
     return repaired.withColumn("section_text", F.when(F.col("full_text") == "", F.lit("")).otherwise(section))
 
 
-def with_facts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """docs (not yet normalised) with the texts that the rules look at; text is searched only where no field is filled, first the section and then all of it.
+def _first(keys: list[str]) -> Column:
+    """The first filled value of the map __look under these keys; empty without one. A small expression for however many keys, as planning takes longer than looking up."""
+    names = F.array(*map(F.lit, keys))
+    return F.coalesce(F.get(F.filter(F.transform(names, lambda k: stripped(F.try_element_at("__look", k))), lambda x: x != ""), 0), F.lit(""))
 
-    The canonical fields are looked up as columns; the map itself isn't rebuilt.
-    """
+
+def with_facts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """docs (not yet normalised) with the texts that the rules look at; text is searched only where no field is filled, first the section and then all of it."""
     both = lambda find: F.when(F.col("full_text") == "", F.lit("")).otherwise(F.coalesce(F.nullif(find(F.col("section_text")), F.lit("")), find(F.col("full_text"))))
     told = settings or Settings()
-    canonical = _canonical()
-    value = lambda k: canonical.get(k, F.try_element_at("fields", F.lit(k)))
-    first = lambda keys: F.coalesce(*[F.nullif(stripped(value(k)), F.lit("")) for k in keys], F.lit(""))
-    facts = _sourced(docs).withColumns(
+    facts = normalized(docs).withColumnRenamed("fields", "__look").withColumns(
         {
-            "supplier": first(fixed.SUPPLIER_KEYS),
-            "buyer": first(fixed.BUYER_KEYS),
-            "equal_supplier": first(fixed.EQUAL_SUPPLIER_KEYS),
-            "equal_buyer": first(fixed.EQUAL_BUYER_KEYS),
-            "check_supplier": first(fixed.CHECK_SUPPLIER_KEYS),
-            "check_buyer": first(fixed.CHECK_BUYER_KEYS),
-            "date": first(fixed.DATE_KEYS),
-            "future": first(fixed.FUTURE_KEYS),
-            "total": first(fixed.TOTAL_KEYS),
+            "supplier": _first(fixed.SUPPLIER_KEYS),
+            "buyer": _first(fixed.BUYER_KEYS),
+            "equal_supplier": _first(fixed.EQUAL_SUPPLIER_KEYS),
+            "equal_buyer": _first(fixed.EQUAL_BUYER_KEYS),
+            "check_supplier": _first(fixed.CHECK_SUPPLIER_KEYS),
+            "check_buyer": _first(fixed.CHECK_BUYER_KEYS),
+            "date": _first(fixed.DATE_KEYS),
+            "future": _first(fixed.FUTURE_KEYS),
+            "total": _first(fixed.TOTAL_KEYS),
         }
-    ).drop(*_SOURCED)
-    facts = facts.withColumns(
+    ).drop("__look")
+    texts = ("text_supplier", "text_buyer", "text_date", "text_total")
+    facts = facts.withColumns(dict.fromkeys(texts, F.lit(""))) if "raw_text" not in docs.columns else facts.withColumns(
         {
             "text_supplier": F.when((F.col("supplier") == "") | (F.col("equal_supplier") == "") | (F.col("check_supplier") == ""), both(lambda t: text_bin(t, fixed.SUPPLIER_LABELS))).otherwise(F.lit("")),
             "text_buyer": F.when((F.col("buyer") == "") | (F.col("equal_buyer") == "") | (F.col("check_buyer") == ""), both(lambda t: text_bin(t, fixed.BUYER_LABELS))).otherwise(F.lit("")),
@@ -113,7 +116,8 @@ def with_facts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     indexed = is_table_index(parse_number(F.col("total")))
     of["positive_total"] = F.when((F.col("total") == "") | indexed, F.col("text_total")).otherwise(F.col("total"))
     of["signed_total"] = F.when(F.col("total") == "", F.col("text_total")).otherwise(F.col("total"))
-    return facts.withColumns(of)
+    facts = facts.withColumns(of)
+    return facts.withColumns({f"{c}_number": identifier_number(F.col(c)) for c in ("check_supplier", "check_buyer")})
 
 
 def is_table_index(number: Column) -> Column:
@@ -180,7 +184,7 @@ def _checksum(fact: str, role: str) -> Callable[[Column], Column]:
     def rule(as_of: Column) -> Column:
         level, title, *rest = fixed.CATALOGUE["BIN012"]
         bad = _item("BIN012", level, f"{title} ({role})", *rest, value=F.col(fact))
-        return F.when(~is_bin(F.col(fact)), None).when(checksum_holds(F.col(fact)), _item("BIN012", "OK", fixed.CHECKSUM_OK.format(role=role), value=F.col(fact))).otherwise(bad)
+        return F.when(~is_bin(F.col(fact)), None).when(F.expr(holds_sql(f"{fact}_number")), _item("BIN012", "OK", fixed.CHECKSUM_OK.format(role=role), value=F.col(fact))).otherwise(bad)
 
     return rule
 
@@ -219,11 +223,12 @@ def legacy_checked(docs: DataFrame, as_of: str | None = None, settings: Settings
     """doc_id, items by the rules of the older generation: fields as they are given, identifiers behind fewer labels in the raw text, four date forms; D001 says nothing of dates that can't be read."""
     told = settings or Settings()
     day = F.current_date() if as_of is None else F.lit(as_of).cast("date")
-    given = docs.withColumns({"fields": F.coalesce("fields", F.create_map().cast("map<string,string>")), "raw_text": F.coalesce("raw_text", F.lit(""))})
+    given = docs.withColumns({"fields": F.coalesce("fields", F.create_map().cast("map<string,string>")), "raw_text": F.coalesce("raw_text", F.lit("")) if "raw_text" in docs.columns else F.lit("")})
     pairs = (("supplier", fixed.CHECK_SUPPLIER_KEYS, fixed.LEGACY_SUPPLIER_LABELS), ("buyer", fixed.CHECK_BUYER_KEYS, fixed.LEGACY_BUYER_LABELS))
     facts = {name: F.coalesce(F.nullif(first_of(F.col("fields"), keys), F.lit("")), text_bin(F.col("raw_text"), labels)) for name, keys, labels in pairs}
     facts["date"] = first_of(F.col("fields"), fixed.LEGACY_DATE_KEYS)
     rows = given.select("doc_id", *[v.alias(k) for k, v in facts.items()])
+    rows = rows.withColumns({f"{c}_number": identifier_number(F.col(c)) for c in ("supplier", "buyer")})
     date = F.when(~F.col("date").rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), parse_date_exact(F.col("date")))
     late = F.when(date > day, _failed("D001", F.col("date"))).when(date.isNotNull(), _right("D001", F.col("date")))
     made = [_present("BIN001", "supplier"), _present("BIN002", "buyer"), F.when(date.isNull(), _failed("D000", F.col("date"))).otherwise(_right("D000", F.col("date"))), late]

@@ -174,7 +174,7 @@ def clean_text_key(spark, sf_dir):
 
 def header_similarity(spark, sf_dir):
     rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("key"), S.clean_key(F.col("p_name")).alias("name"))
-    alike = lambda kind, least=0.0: F.round(S.header_similarity(F.col("name"), fixed.HEADER_ALIASES[kind], least), 6)
+    alike = lambda kind, least=0.0: F.round(S.header_similarity("name", fixed.HEADER_ALIASES[kind], least), 6)
     kinds = [k for k, aliases in fixed.HEADER_ALIASES.items() if aliases]
     return rows.select("key", *[alike(k).alias(k) for k in kinds], (alike("total_amount", 0.3) >= 0.3).alias("alike"))
 

@@ -59,10 +59,10 @@ def mutated(base: DataFrame, as_of: str = AS_OF) -> DataFrame:
 
 
 def documents(rows: DataFrame) -> DataFrame:
-    """doc_id, fields (a map), raw_text (null) from rows of mutated()."""
+    """doc_id, fields (a map) from rows of mutated(); there is no text."""
     names = ("supplier_BIN", "recipient_BIN", "date_issue", "total_amount")
     fields = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])
-    return rows.select("doc_id", fields.alias("fields"), F.lit(None).cast("string").alias("raw_text"))
+    return rows.select("doc_id", fields.alias("fields"))
 
 
 def rendered(base: DataFrame) -> DataFrame:
