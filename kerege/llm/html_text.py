@@ -222,7 +222,8 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html); null and textless pages give an empty text.
 
-    Rows that repeat a page_id are read each for itself; other columns are ignored; an empty table gives an empty one.
+    Pages are read whole whatever their length. Rows that repeat a page_id are read each for itself, a null page_id stays null; other columns are
+    ignored; an empty table gives an empty one.
     """
     ship_package(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

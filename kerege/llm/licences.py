@@ -161,7 +161,8 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] | None = None, notice
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (of fuzzy notices).
 
     Null texts count as empty: no words, no labels, score 0. The score is 1 with a base place, else 1 less the best
-    notice's edits per character. Other columns are ignored; an empty table gives an empty one.
+    notice's edits per character. Texts are scanned whole whatever their length; rows that repeat a doc_id are scanned each for itself. Other columns are
+    ignored; an empty table gives an empty one.
     """
     ship_package(docs.sparkSession)
     run = _scanned(PHRASES if phrases is None else phrases, NOTICES if notices is None else notices, per_edit)

@@ -184,7 +184,8 @@ def quality(docs: DataFrame, labels: DataFrame, trained, threshold: float = THRE
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text); labels (doc_id, quality) are read where `trained(doc_id)` holds.
 
     Null texts count as empty and get the training rows' share of good ones (one half without training rows). Rows that repeat a doc_id
-    are scored each for itself; labelled rows without doc_id aren't trained on. Other columns are ignored.
+    are scored each for itself; labelled rows without doc_id aren't trained on. Texts are scored whole whatever their length (those of over TRAIN_BYTES aren't trained
+    on). An empty table gives an empty one; other columns are ignored.
     """
     field = train(docs, labels, trained)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(field), "doc_id long, score double")

@@ -323,7 +323,7 @@ def packed(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: each document's pieces and their places.
 
     Null texts count as empty and still take one token, the end. Rows that repeat a doc_id are packed as documents of
-    their own. An empty table gives no sequence. Other columns are ignored.
+    their own, a null doc_id stays null. Texts are packed whole whatever their length. An empty table gives no sequence. Other columns are ignored.
     """
     ship_package(docs.sparkSession)
     pieces = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer_file, capacity), _PIECE), "pieces")
