@@ -91,3 +91,22 @@ def word_list(text: Column) -> Column:
 def bounded(df: DataFrame, mb: float) -> bool:
     """Is the optimizer's size of df at most so many MB? Tables just read from files have an exact one."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()) <= mb * 1e6
+
+
+#: Groups with over one row in HOT_SHARE are at most as many, so that they can always be broadcast.
+HOT_SHARE = 1000
+
+
+def joined_by_group(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of groups (key, n, ...), n the number of rows of the group; null keys meet, every row has a group.
+
+    Groups with over one row in HOT_SHARE go by broadcast, at most HOT_SHARE of them whatever the table, so that no task gets a
+    hot key; all others meet by shuffle. groups is read twice and best written.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    groups = groups.withColumnRenamed(key, "__group")
+    hot, others = (groups.where(test).drop("n") for test in (F.col("n") * HOT_SHARE > total, F.col("n") * HOT_SHARE <= total))
+    found = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), F.col(key).eqNullSafe(F.col("__group")), "left")
+    many = found.where("__hot")
+    few = found.where("__hot is null").select(*rows.columns).join(others, F.col(key).eqNullSafe(F.col("__group")))
+    return many.drop("__hot", "__group").unionByName(few.drop("__group"))

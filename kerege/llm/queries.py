@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kerege.llm.clustering import OP11_SQL, op11_lloyd
 from kerege.llm.decontamination import OP4_SQL, op4_spaced_seeds
 from kerege.llm.html_text import op8_text_blocks
 from kerege.llm.licences import op6_fuzzy_notices
@@ -12,6 +13,7 @@ from kerege.llm.recompression import OP2_SQL, op2_recompression
 from kerege.llm.simhash import op1_simhash
 from kerege.llm.tokens import op9_rank_synchronous
 from kerege.llm.toxicity import op10_kneser_ney
+from kerege.llm.vector_codes import OP13_SQL, op13_screened_codes
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -24,9 +26,13 @@ QUERIES = {
     "op8_text_blocks": op8_text_blocks,
     "op9_rank_synchronous": op9_rank_synchronous,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_lloyd": op11_lloyd,
+    "op13_screened_codes": op13_screened_codes,
 }
 
 ORACLE_SQL = {
     "op2_recompression": OP2_SQL,
     "op4_spaced_seeds": OP4_SQL,
+    "op11_lloyd": OP11_SQL,
+    "op13_screened_codes": OP13_SQL,
 }
