@@ -30,13 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
     return f"{shared_folder(spark)}/kerege/{spark.sparkContext.applicationId}"
 
 
 def cleared(spark: SparkSession) -> None:
     """Delete all tables that written() has made in this application; results that haven't been read to their end need them."""
-    _deleted(spark, _own_folder(spark))
+    _deleted(spark, own_folder(spark))
 
 
 def _deleted(spark: SparkSession, path: str) -> None:
@@ -47,7 +48,7 @@ def _deleted(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     spark._jvm.System.gc()  # else the shuffle files of what is written now stay until the driver's heap fills

@@ -14,6 +14,7 @@ from kerege.llm.simhash import op1_simhash
 from kerege.llm.tokens import op9_rank_synchronous
 from kerege.llm.toxicity import op10_kneser_ney
 from kerege.llm.vector_codes import OP13_SQL, op13_screened_codes
+from kerege.llm.warc import OP12_SQL, op12_warc_index
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_rank_synchronous": op9_rank_synchronous,
     "op10_kneser_ney": op10_kneser_ney,
     "op11_lloyd": op11_lloyd,
+    "op12_warc_index": op12_warc_index,
     "op13_screened_codes": op13_screened_codes,
 }
 
@@ -34,5 +36,6 @@ ORACLE_SQL = {
     "op2_recompression": OP2_SQL,
     "op4_spaced_seeds": OP4_SQL,
     "op11_lloyd": OP11_SQL,
+    "op12_warc_index": OP12_SQL,
     "op13_screened_codes": OP13_SQL,
 }
