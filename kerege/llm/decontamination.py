@@ -29,6 +29,8 @@ SEEDS = ("111011", "1100001011", "110111")
 WINDOW = 13
 SHARE = 0.75
 BROADCAST_WORDS = 300_000
+#: Words of a text that are looked at together, at least as many as the longest item has.
+BLOCK = 1024
 
 
 def normal_words(text: Column) -> Column:
@@ -62,8 +64,8 @@ def item_seeds(items: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     return out, masks
 
 
-#: Which aligned places agree, and how many.
-_AGREE = "transform(__item, (w, j) -> if(coalesce(get(__words, __start + j) = w, false), 1, 0))"
+#: Which places of the item agree with words of the text; __from is where the item starts among these.
+_AGREE = "transform(__item, (w, j) -> if(coalesce(get(__words, __from + j) = w, false), 1, 0))"
 _COUNT = "aggregate(__agree, 0, (a, x) -> a + x)"
 
 
@@ -75,25 +77,43 @@ def _enough() -> Column:
     return F.expr(f"({short}) or (size(__agree) >= {WINDOW} and {_COUNT} >= {need} and {windows})")
 
 
-def contaminated_items(docs: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """(doc_id, item_id, overlap long): documents that hold an item of benchmark (item_id, text), with most agreeing places."""
+def blocks(texts: DataFrame, size: int, more: int) -> DataFrame:
+    """texts with __words cut into rows of the other columns, __block and __words: `size` words each, and the `more` words that follow."""
+    others = [c for c in texts.columns if c != "__words"]
+    cut = f"transform(sequence(0, greatest(size(__words) - 1, 0) div {size}), b -> struct(b as __block, slice(__words, b * {size} + 1, {size + more}) as __words))"
+    return texts.select(*others, F.explode(F.expr(cut)).alias("__b")).select(*others, F.col("__b.__block").alias("__block"), F.col("__b.__words").alias("__words"))
+
+
+def contaminated_items(docs: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS, block: int = BLOCK) -> DataFrame:
+    """(doc_id, item_id, overlap long): documents that hold an item of benchmark (item_id, text), with most agreeing places.
+
+    A hit is a lie of an item on a document: its start. Lies meet the block of words in which they start, not the document, so
+    that a text in which an item repeats costs in proportion to its length, and one text's lies are dealt over many tasks.
+    """
     items = written(benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), normal_words(F.col("text")).alias("__words")).distinct(), "items")
-    found, masks = item_seeds(items)
-    seeded = found.select("__key", F.col("__at").alias("__item_at"), "item_id")
-    n_words = items.agg(F.sum(F.size("__words"))).first()[0] or 0
+    found, masks = item_seeds(items.withColumn("__n", F.size("__words")))
+    seeded = found.select("__key", F.col("__at").alias("__item_at"), "item_id", "__n")
+    n_words, longest = (x or 0 for x in items.agg(F.sum(F.size("__words")), F.max(F.size("__words"))).first())
+    size = max(block, longest)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__hash"), "text")
     placed = seeds(texts.select("doc_id", "__hash", normal_words(F.col("text")).alias("__words")), masks)
     hits = placed.join(F.broadcast(seeded) if n_words <= broadcast_words else seeded, "__key")
     # one row for each lie of an item on a document, however many seeds agree
-    lies = written(hits.select("doc_id", "__hash", "item_id", (F.col("__at") - F.col("__item_at")).alias("__start")).distinct(), "lies")
-    held = lies.groupBy("doc_id", "__hash").agg(F.collect_list(F.struct("item_id", "__start")).alias("__lies"))
-    # a document's lies are as many as its words at most times the items; each document's text moves once
-    aligned = texts.join(held, texts.doc_id.eqNullSafe(held.doc_id) & (texts["__hash"] == held["__hash"])).select(texts.doc_id, normal_words(F.col("text")).alias("__words"), "__lies")
-    aligned = aligned.select("doc_id", F.explode("__lies").alias("__l"), "__words").select("doc_id", F.col("__l.item_id").alias("item_id"), F.col("__l.__start").alias("__start"), "__words")
+    start = F.col("__at") - F.col("__item_at")
+    lies = hits.select("doc_id", "__hash", "item_id", "__n", start.alias("__start"), F.expr(f"greatest(__at - __item_at, 0) div {size}").cast("int").alias("__block")).distinct()
+    lies = written(lies, "lies")
+    hit = lies.select("doc_id", "__hash").distinct()
+    same = texts.doc_id.eqNullSafe(hit.doc_id) & (texts["__hash"] == hit["__hash"])
+    held = blocks(texts.join(hit, same, "left_semi").select("doc_id", "__hash", normal_words(F.col("text")).alias("__words")), size, longest)
+    at = lies.doc_id.eqNullSafe(held.doc_id) & (lies["__hash"] == held["__hash"]) & (lies["__block"] == held["__block"])
+    # the words from the lie's start on are cut out within the join, so that no lie carries its block further
+    begin = lies["__start"] - lies["__block"] * size
+    words = F.slice(held["__words"], F.greatest(begin, F.lit(0)) + 1, lies["__n"])
+    laid = lies.join(held, at).select(lies.doc_id.alias("doc_id"), "item_id", F.least(begin, F.lit(0)).alias("__from"), words.alias("__words"))
     whole = items.select("item_id", F.col("__words").alias("__item"))
-    aligned = aligned.join(F.broadcast(whole) if n_words <= broadcast_words else whole, "item_id")
-    found = aligned.select("doc_id", "item_id", F.expr(_AGREE).alias("__agree")).where(_enough())
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.expr(f"cast({_COUNT} as bigint)")).alias("overlap"))
+    laid = laid.join(F.broadcast(whole) if n_words <= broadcast_words else whole, "item_id")
+    agreed = laid.select("doc_id", "item_id", F.expr(_AGREE).alias("__agree")).where(_enough())
+    return agreed.groupBy("doc_id", "item_id").agg(F.max(F.expr(f"cast({_COUNT} as bigint)")).alias("overlap"))
 
 
 @keeps_names

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from itertools import combinations
 
 from kerege.llm import decontamination as dc
@@ -41,8 +42,24 @@ def test_against_all_alignments(spark):
             copy = [("sub" if j in places else w) for j, w in enumerate(item)]
             before = [f"f{rng.randrange(50)}" for _ in range(rng.choice([0, 0, 5]))]
             docs.append((len(docs), " ".join(before + copy + [f"f{rng.randrange(50)}" for _ in range(rng.choice([0, 4]))])))
-    got = dc.contaminated_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted(tuple(r) for r in got.select("doc_id", "item_id", "overlap").collect()) == slow_items(docs, items)
+    wanted = slow_items(docs, items)
+    for block in (1, 1024):  # blocks as short as the longest item, and longer than the texts
+        got = dc.contaminated_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=block)
+        assert sorted(tuple(r) for r in got.select("doc_id", "item_id", "overlap").collect()) == wanted
+
+
+def test_items_that_repeat_cost_in_proportion(spark):
+    """A text of 200,000 words, an item all over; its lies are as many as its repetitions, and no row holds more than a block."""
+    item = " ".join(f"w{j}" for j in range(20))
+    items = spark.createDataFrame([(1, item), (2, " ".join(f"w{j}" for j in range(5, 20)) + " tail " + item), (3, "one two three")], "item_id long, text string")
+    seconds = {}
+    for k in (1_000, 10_000):
+        docs = spark.createDataFrame([(7, f"{item} " * k), (8, "other words")], "doc_id long, text string")
+        began = time.perf_counter()
+        got = sorted(tuple(r) for r in dc.contaminated_items(docs, items).select("doc_id", "item_id", "overlap").collect())
+        seconds[k] = time.perf_counter() - began
+        assert got == [(7, 1, 20), (7, 2, 20)]
+    assert seconds[10_000] < 10 * seconds[1_000] + 5
 
 
 SCHEMA = "doc_id long, text string, __gone string, item_id string, __words long, overlap string"
