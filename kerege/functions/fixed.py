@@ -243,3 +243,46 @@ CURRENCIES = (
     "GMD GNF GTQ GYD HKD HNL HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MYR MZN NAD NGN NIO "
     "NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SEK SGD SHP SLE SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD UYU UZS VED VES VND VUV WST XAF XCD XOF XPF YER ZAR ZMW ZWG"
 ).split()
+
+# The catalogues v2.5 and v2.6, codes in their order; level, title, description, recommendation, and what is said if all is right.
+CATALOGUE_25 = {
+    "BIN001": ("ERROR", "Ошибка: не найден БИН поставщика", "В документе отсутствует или неверно указан БИН поставщика.", "Введите корректный 12-значный БИН в поле «Поставщик».", "БИН поставщика корректный."),
+    "BIN002": ("ERROR", "Ошибка: не найден БИН покупателя", "В документе отсутствует или неверно указан БИН покупателя.", "Убедитесь, что БИН покупателя состоит из 12 цифр без пробелов и букв.", "БИН покупателя корректный."),
+    "D000": ("ERROR", "Ошибка: не указана дата выставления", "Дата выписки счёта-фактуры отсутствует или указана в неверном формате.", "Введите корректную дату в формате ГГГГ-ММ-ДД.", "Дата выписки указана и распознана."),
+    "D001": ("WARN", "Предупреждение: дата выписки в будущем", "Дата документа позже текущей даты.", "Проверьте, возможно документ ещё не должен быть выписан.", "Дата выписки не позже текущей даты."),
+    "TOT001": ("ERROR", "Ошибка: суммы не совпадают", "Сумма по строкам документа не совпадает с итоговой суммой.", "Перепроверьте все позиции и убедитесь, что итог соответствует строкам.", "Итоговая сумма совпадает с суммой по строкам."),
+    "NEG001": ("ERROR", "Ошибка: сумма документа отрицательная", "Общая сумма документа меньше нуля.", "Проверьте корректность чисел в строках — не должны быть отрицательными.", "Сумма документа не отрицательная."),
+    "XML001": ("ERROR", "Ошибка: XML-документ повреждён", "Не удалось прочитать структуру XML-файла.", "Попробуйте заново экспортировать ЭСФ с портала или из 1С.", "XML-документ корректен и читается."),
+}
+CATALOGUE_26 = {
+    "BIN001": ("ERROR", "Ошибка: не найден БИН поставщика", "В документе отсутствует или неверно указан БИН поставщика.", "Введите корректный 12-значный БИН в поле «Поставщик».", "БИН поставщика указан и валиден (12 цифр)."),
+    "BIN002": ("ERROR", "Ошибка: не найден БИН покупателя", "В документе отсутствует или неверно указан БИН покупателя.", "Убедитесь, что БИН покупателя состоит из 12 цифр без пробелов и букв.", "БИН покупателя указан и валиден (12 цифр)."),
+    "D000": ("ERROR", "Ошибка: не указана дата выставления", "Дата выписки счёта-фактуры отсутствует или указана в неверном формате.", "Введите корректную дату в формате ГГГГ-ММ-ДД.", "Дата выставления указана и корректно распознана."),
+    "D001": ("WARN", "Предупреждение: дата выписки в будущем", "Дата документа позже текущей даты.", "Проверьте, возможно документ ещё не должен быть выписан.", "Дата выписки не позже текущей даты."),
+    "TOT001": ("ERROR", "Ошибка: суммы не совпадают", "Сумма по строкам документа не совпадает с итоговой суммой.", "Перепроверьте все позиции и убедитесь, что итог соответствует строкам.", "Итог документа совпадает с суммой по всем строкам."),
+    "VAT001": ("ERROR", "Ошибка: НДС посчитан неверно", "Сумма НДС в одной из строк не соответствует ставке.", "Проверьте ставку и сумму НДС для каждой позиции.", "НДС по проверенным строкам соответствует заявленной ставке."),
+    "ID001": ("ERROR", "Ошибка: неверный формат номера", "Номер документа содержит недопустимые символы.", "Используйте латинские буквы, цифры, дефис или подчёркивание.", "Номер документа соответствует формату ^[A-Z0-9_-]+$."),
+    "ID002": ("ERROR", "Ошибка: отсутствует номер документа", "Документ не содержит поля «Номер документа».", "Введите номер документа перед загрузкой.", "Номер документа заполнен (поле не пустое)."),
+    "AMT001": ("ERROR", "Ошибка: сумма документа не указана или равна нулю", "Общая сумма документа отсутствует или равна нулю.", "Убедитесь, что поле «Всего с НДС» заполнено корректно.", "Итоговая сумма указана и больше 0."),
+    "NEG001": ("ERROR", "Ошибка: сумма документа отрицательная", "Общая сумма документа меньше нуля.", "Проверьте корректность чисел в строках — не должны быть отрицательными.", "Итоговая сумма не отрицательная (≥ 0)."),
+}
+
+# The template of electronic invoices; its sections in order, its fields (pattern, required), and the names of its checks.
+TEMPLATE_NAME = "ЭСФ"
+TEMPLATE_SECTIONS = ["Раздел А", "Раздел B", "Раздел C", "Раздел E", "Раздел F", "Раздел G", "Раздел L"]
+TEMPLATE_FIELDS = {
+    "supplier_BIN": (r"\b\d{12}\b", True),
+    "recipient_BIN": (r"\b\d{12}\b", True),
+    "date_issue": (r"\d{2}\.\d{2}\.\d{4}", True),
+    "total_amount": (r"\b\d{1,3}(?:[  ]\d{3})*(?:[.,]\d{2})?\b", True),
+    "signature_ECP": (r"(?i)эцп", True),
+    "GTIN_code": (r"\b\d{14}\b", False),
+    "virtual_warehouse": (r"(?i)виртуальный склад", False),
+}
+TEMPLATE_CHECKS = ["section_sequence_check", "binary_fields_presence", "signature_check", "format_detection"]
+
+# Keywords by language and role.
+KEYWORDS = {
+    "ru": {"supplier": ["поставщик", "бин"], "buyer": ["получатель", "покупатель"], "date": ["дата", "дата выписки"], "total": ["итого", "всего", "сумма", "всего к оплате"]},
+    "kk": {"supplier": ["жеткізуші", "бсн"], "buyer": ["алушы", "сатып алушы"], "date": ["күні"], "total": ["барлығы", "сомасы", "төлеуге тиіс сома"]},
+}

@@ -195,6 +195,11 @@ _BYTES_1252 = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90,
 _FROM_1252, _TO_1252 = bytes(_BYTES_1252).decode("cp1252"), "".join(map(chr, _BYTES_1252))
 
 
+def from_1251(text: Column) -> Column:
+    """A text whose bytes were taken for Latin-1, as code page 1251 has them; byte 98 stays, as it stands for nothing there."""
+    return F.translate(text, _FROM_1251, _TO_1251)
+
+
 def _as_1251(text: Column) -> Column:
     """The characters' Latin-1 bytes read as code page 1251; null if they have none."""
     return F.when(~text.rlike("[^\\x00-\\xFF]|\\x98"), F.translate(text, _FROM_1251, _TO_1251))

@@ -203,20 +203,54 @@ RULES: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def register_rule(name: str, rule: Callable[[Column], Column]) -> None:
-    """Add a rule: a function of the day that counts as today, giving an item struct or null."""
+_BUILT_IN = dict(RULES)
+#: Names of rules that were added, and whether they give arrays of items.
+_ADDED: dict[str, bool] = {}
+
+
+def register_rule(name: str, rule: Callable[[Column], Column], many: bool = False) -> None:
+    """Add a rule, or put it in place of one: a function of the day that counts as today, giving an item struct or null; with many, an array of items or null.
+
+    Such a rule is evaluated under a guard (`guarded`), as built-in ones need none: these have only forms that don't throw.
+    """
     RULES[name] = rule
+    _ADDED[name] = many
+
+
+def unregister_rule(name: str) -> None:
+    """Take an added rule away; a built-in one of that name counts again."""
+    if _ADDED.pop(name, None) is not None:
+        RULES.pop(name, None)
+        if name in _BUILT_IN:
+            RULES[name] = _BUILT_IN[name]
+
+
+def guarded(rule: Column, name: str, many: bool = False) -> Column:
+    """What an expression of any kind finds, as an array of items; if evaluating it fails (casts, indexes, divisions, raised errors), an ERROR item under the rule's name.
+
+    try_to_binary gives null for whatever fails below it. The rule stands in a lambda, for else parts that rules share would be
+    evaluated once ahead of them all, outside of the guard. An outcome passes as JSON, so that nothing found differs from nothing known.
+    """
+    kind = f"array<{_Value}>" if many else _Value
+    found = F.transform(F.array(F.lit(0)), lambda _: rule.cast(kind))[0]
+    said = F.call_function("try_to_binary", F.to_json(F.struct(found.alias("x"))), F.lit("utf-8"))
+    told = F.from_json(said.cast("string"), f"struct<x:{kind}>")["x"]
+    failed = F.array(_item(f"_rule_{name}", "ERROR", fixed.RULE_FAILED[0], f"_rule_{name}", fixed.RULE_FAILED[1]).cast(_Value))
+    items = F.filter(told, lambda x: x.isNotNull()) if many else F.array(told)
+    return F.when(said.isNull(), failed).when(told.isNull(), F.array().cast(f"array<{_Value}>")).otherwise(items)
 
 
 def checked(docs: DataFrame, as_of: str | None = None, rules: list[str] | tuple[str, ...] | None = None, settings: Settings | None = None) -> DataFrame:
-    """doc_id, items: what the rules say of each document, in order. as_of defaults to the current day."""
+    """doc_id, items: what the rules say of each document, in order; added rules come last. as_of defaults to the current day."""
     day = F.current_date() if as_of is None else F.lit(as_of).cast("date")
     told = settings or Settings()
     made = RULES | ({"BIN007": _equal_allowed} if told.allow_equal_bins else {})
     names = [r for r in rules or made if told.checksum or not r.startswith("BIN012")]
     facts = with_facts(with_texts(docs, told), told)
-    found = F.array(*[made[r](day).cast(_Value) for r in names])
-    return facts.select("doc_id", F.filter(found, lambda x: x.isNotNull()).alias("items"))
+    found = F.array(*[made[r](day).cast(_Value) for r in names if r not in _ADDED]).cast(f"array<{_Value}>")
+    items = F.filter(found, lambda x: x.isNotNull())
+    added = [guarded(made[r](day), r, _ADDED[r]) for r in names if r in _ADDED]
+    return facts.select("doc_id", (F.concat(items, *added) if added else items).alias("items"))
 
 
 def legacy_checked(docs: DataFrame, as_of: str | None = None, settings: Settings | None = None) -> DataFrame:

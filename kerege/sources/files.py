@@ -1,4 +1,4 @@
-"""Invoice files: JSON, spreadsheets and PDF, told apart by their suffix; what can't be read becomes a reject.
+"""Invoice files: JSON, XML, spreadsheets and PDF, told apart by their suffix; what can't be read becomes a reject.
 
 Files are listed and read by Spark's own readers, so any store that Spark reaches will do. Spreadsheets are zip archives of
 XML and PDF a binary format: both are taken apart in Arrow batches, one file at a time.
@@ -22,6 +22,7 @@ from kerege.operators.cells import sheet_documents
 from kerege.operators.text_facts import pdf_bins, pdf_date, pdf_layer, pdf_total
 from kerege.settings import Settings
 from kerege.shipping import ship_package
+from kerege.sources.xml_files import xml_documents, xml_text
 
 #: Fixed value: what is said of other formats.
 UNSUPPORTED = "Неподдерживаемый формат "
@@ -29,14 +30,14 @@ FIELDS = "map<string,string>"
 
 
 def listed(spark: SparkSession, path: str) -> DataFrame:
-    """path, suffix (lower case, with its point), kind (json, sheet, pdf, null for others), content of all files below path."""
+    """path, suffix (lower case, with its point), kind (json, sheet, pdf, xml, null for others), content of all files below path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return kinds(files)
 
 
 def kinds(files: DataFrame) -> DataFrame:
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    kind = F.when(suffix == ".json", "json").when(suffix.isin(".xlsx", ".xls"), "sheet").when(suffix == ".pdf", "pdf")
+    kind = F.when(suffix == ".json", "json").when(suffix.isin(".xlsx", ".xls"), "sheet").when(suffix == ".pdf", "pdf").when(suffix == ".xml", "xml")
     return files.select("path", suffix.alias("suffix"), kind.alias("kind"), "content")
 
 
@@ -172,8 +173,9 @@ def documents(files: DataFrame, settings: Settings | None = None) -> tuple[DataF
     sheets = sheet_documents(cells.where("error is null").select("doc_id", "r", "c", "v"), settings)
     empty = cells.where("error = ''").select("doc_id", F.create_map().cast(FIELDS).alias("fields"), F.lit(None).cast("string").alias("raw_text"))
     texts = pdf_texts(files.where("kind = 'pdf'"))
-    good = told.unionByName(sheets).unionByName(empty).unionByName(pdf_documents(texts.where("error is null")))
-    wrong = said.unionByName(bad)
+    marked, broken = xml_documents(files.where("kind = 'xml'").select(F.col("path").alias("doc_id"), xml_text(F.col("content")).alias("text")))
+    good = told.unionByName(sheets).unionByName(empty).unionByName(pdf_documents(texts.where("error is null"))).unionByName(marked.drop("lines"))
+    wrong = said.unionByName(bad).unionByName(broken)
     for part in (cells, texts):
         wrong = wrong.unionByName(part.where("error <> ''").select("doc_id", "error"))
     return good, wrong

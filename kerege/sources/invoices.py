@@ -170,3 +170,26 @@ def line_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_("TOT003"), 0).otherwise(tax).alias("vat_cents"),
         F.when(is_("TOT003"), 0).when(is_("TOT002"), F.expr("(95 * (cents + vat) + 50) div 100")).otherwise(whole).alias("with_vat_cents"),
     )
+
+
+def sectioned(base: DataFrame) -> DataFrame:
+    """doc_id, text: an invoice by sections; two sections change places (doc_id mod 7 and the next digit to base 7), one may be left out and one may stand again at the end."""
+    day, total = F.date_format("day", "dd.MM.yyyy"), money_text(F.col("cents"))
+    seven = lambda power: F.expr(f"cast((doc_id div {power}) % 7 as int)")
+    i, j, out, again = seven(1), seven(7), F.expr("cast((doc_id div 49) % 9 as int)"), F.expr("cast((doc_id div 5) % 11 as int)")
+    names = F.array(*map(F.lit, fixed.TEMPLATE_SECTIONS))
+    body = F.array(F.concat(F.lit("Дата выписки "), day), F.concat(F.lit("БИН "), "supplier_bin"), F.concat(F.lit("БИН "), "buyer_bin"), F.lit("Раздел АБ не раздел"), F.lit("виртуальный склад"), F.concat(F.lit("Всего "), total), F.when(F.col("doc_id") % 3 > 0, "ЭЦП поставщика").otherwise(""))
+    place = lambda k: F.when(k == i, j).when(k == j, i).otherwise(k)
+    kept = F.filter(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.when(place(k) != out, F.concat(F.get(names, place(k)), F.lit(". Текст\n"), F.get(body, place(k))))), lambda x: x.isNotNull())
+    last = F.when(again < 7, F.concat(F.get(names, again), F.lit(" (продолжение)"))).otherwise("")
+    return base.select("doc_id", F.concat(F.lit("ЭСФ\n"), F.array_join(kept, "\n"), F.lit("\n"), last).alias("text"))
+
+
+def bilingual(base: DataFrame) -> DataFrame:
+    """doc_id, text: the invoice in Russian, in Kazakh or in both, by doc_id mod 3; every fifth has no date."""
+    day, total = F.date_format("day", "dd.MM.yyyy"), money_text(F.col("cents"))
+    dated = lambda name: F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit(name), day))
+    ru = F.concat_ws("\n", F.concat(F.lit("Поставщик, БИН: "), "supplier_bin"), F.concat(F.lit("Покупатель: "), "buyer_bin"), dated("Дата выписки: "), F.concat(F.lit("ВСЕГО К ОПЛАТЕ "), total))
+    kk = F.concat_ws("\n", F.concat(F.lit("Жеткізуші БСН: "), "supplier_bin"), F.concat(F.lit("Сатып алушы: "), "buyer_bin"), dated("Күні "), F.concat(F.lit("Төлеуге тиіс сома: "), total))
+    text = F.when(F.col("doc_id") % 3 == 0, ru).when(F.col("doc_id") % 3 == 1, kk).otherwise(F.concat(kk, F.lit("\n"), ru))
+    return base.select("doc_id", text.alias("text"))

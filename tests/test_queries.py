@@ -9,8 +9,9 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from kerege.plans.oracle import ORACLE_SQL
-from kerege.plans.queries import QUERIES
+from kerege.plans import checks, oracle, queries
+
+ORACLE_SQL, QUERIES = oracle.ORACLE_SQL | checks.ORACLE_SQL, queries.QUERIES | checks.QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
