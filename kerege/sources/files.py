@@ -22,6 +22,7 @@ from kerege.operators.cells import sheet_documents
 from kerege.operators.text_facts import pdf_bins, pdf_date, pdf_layer, pdf_total
 from kerege.settings import Settings
 from kerege.shipping import ship_package
+from kerege.sources.pdf_layer import page_texts
 from kerege.sources.xml_files import xml_documents, xml_text
 
 #: Fixed value: what is said of other formats.
@@ -124,36 +125,32 @@ def xlsx_cells(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_cells, "doc_id string, r int, c int, v string, error string")
 
 
-def pdf_text(content: bytes) -> str:
-    """All pages' text, one line end apart; pages that can't be read are left out. Needs a PDF library (pypdf or PyPDF2)."""
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        from PyPDF2 import PdfReader
-    out = []
-    for page in PdfReader(io.BytesIO(content)).pages:
-        try:
-            out.append(page.extract_text() or "")
-        except Exception:  # one page's fault; the text of the others counts
-            continue
-    return "\n".join(out)
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for content in batch.column(1):
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             try:
-                rows.append((compatible(pdf_text(content.as_py() or b"")), None))
-            except Exception as told:
-                rows.append((None, f"{type(told).__name__}: {told}"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["doc_id", "text", "error"])
+                found = page_texts(content.as_py() or b"")
+                rows = [(path, k + 1, None if t is None else compatible(t), "page" if t is None else None) for k, t in enumerate(found)] or [(path, None, None, None)]
+            except Exception as told:  # whatever is wrong with one file is said of it, and the others go on
+                rows = [(path, None, None, f"{type(told).__name__}: {told}")]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["doc_id", "page", "text", "error"])
 
 
-def pdf_texts(files: DataFrame) -> DataFrame:
-    """doc_id, text, error from (path, content): the text layer in compatibility form (NFKC), white space as it was."""
+def pdf_pages(files: DataFrame) -> DataFrame:
+    """doc_id, page, text, error from (path, content): a row for each page, its text in compatibility form (NFKC), white space as it was; error is "page" for one that can't be read.
+
+    A file that can't be read has one row without page that says why, one without pages has a row without page and error.
+    """
     ship_package(files.sparkSession)
-    return files.select("path", "content").mapInArrow(_texts, "doc_id string, text string, error string")
+    return files.select("path", "content").mapInArrow(_pages, "doc_id string, page int, text string, error string")
+
+
+def pdf_texts(files: DataFrame) -> DataFrame:
+    """doc_id, text, error from (path, content): all pages' text, one line end apart; pages that can't be read are left out."""
+    rows = pdf_pages(files).groupBy("doc_id")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("page", "text")))), lambda x: x["text"]), "\n")
+    rows = rows.agg(text.alias("text"), F.max(F.when(F.col("page").isNull(), F.col("error"))).alias("error"))
+    return rows.select("doc_id", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
 
 
 def pdf_documents(texts: DataFrame) -> DataFrame:
