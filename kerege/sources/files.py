@@ -7,11 +7,7 @@ XML and PDF a binary format: both are taken apart in Arrow batches, one file at
 from __future__ import annotations
 
 import io
-import re
-import zipfile
 from collections.abc import Iterator
-from datetime import datetime, timedelta
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +19,7 @@ from kerege.operators.text_facts import pdf_bins, pdf_date, pdf_layer, pdf_total
 from kerege.settings import Settings
 from kerege.shipping import ship_package
 from kerege.sources.pdf_layer import page_texts
+from kerege.sources.workbooks import Workbook, register
 from kerege.sources.xml_files import xml_documents, xml_text
 
 #: Fixed value: what is said of other formats.
@@ -58,65 +55,22 @@ def json_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, told.where("error is not null").select("doc_id", "error")
 
 
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-#: Numbers of built-in number formats that show dates.
-_DATE_FORMATS = {14, 15, 16, 17, 22, 27, 30, 36, 50, 57}
-
-
-def _parsed(archive: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
-    return ElementTree.fromstring(archive.read(name)) if name in archive.namelist() else None
-
-
-def _dated_styles(archive: zipfile.ZipFile) -> list[bool]:
-    """For each cell style: does it show a date?"""
-    styles = _parsed(archive, "xl/styles.xml")
-    if styles is None:
-        return []
-    own = {int(x.get("numFmtId", 0)): x.get("formatCode", "") for x in styles.iter(f"{_MAIN}numFmt")}
-    shown = lambda k: k in _DATE_FORMATS or bool(re.search(r"[yd]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", own.get(k, "")).lower()))
-    cells = styles.find(f"{_MAIN}cellXfs")
-    return [shown(int(x.get("numFmtId", 0))) for x in cells] if cells is not None else []
-
-
 def sheet_cells(content: bytes) -> Iterator[tuple[int, int, str]]:
-    """(row, column, text) of the active sheet's filled cells in row-major order, from 1; formulas give their stored values, dates their ISO form."""
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        book = _parsed(archive, "xl/workbook.xml")
-        view = book.find(f"{_MAIN}bookViews/{_MAIN}workbookView")
-        active = int(view.get("activeTab", 0)) if view is not None else 0
-        sheets = list(book.find(f"{_MAIN}sheets"))
-        wanted = sheets[min(active, len(sheets) - 1)].get(f"{_REL}id")
-        target = next(x.get("Target") for x in _parsed(archive, "xl/_rels/workbook.xml.rels") if x.get("Id") == wanted)
-        strings = _parsed(archive, "xl/sharedStrings.xml")
-        shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in strings] if strings is not None else []
-        dated = _dated_styles(archive)
-        sheet = _parsed(archive, target.lstrip("/") if target.startswith("/") else f"xl/{target}")
-        for cell in sheet.iter(f"{_MAIN}c"):
-            column, row = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r")).groups()
-            c = 0
-            for letter in column:
-                c = c * 26 + ord(letter) - 64
-            kind, value = cell.get("t", "n"), cell.find(f"{_MAIN}v")
-            if kind == "inlineStr":
-                yield int(row), c, "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
-            elif value is not None and value.text is not None:
-                text = shared[int(value.text)] if kind == "s" else value.text
-                style = int(cell.get("s", 0))
-                if kind == "n" and style < len(dated) and dated[style]:
-                    text = (datetime(1899, 12, 30) + timedelta(days=float(text))).strftime("%Y-%m-%d")
-                yield int(row), c, text
+    """(row, column, text) of the active sheet's filled cells."""
+    yield from Workbook(io.BytesIO(content)).cells()
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["doc_id", "r", "c", "v", "error"])
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             try:
-                found, error = list(sheet_cells(content.as_py() or b"")), None
+                cells = list(sheet_cells(content.as_py() or b""))  # whole, as a file with a fault has no cells
+                rows = [(path, r, c, v, None) for r, c, v in cells] or [(path, None, None, None, "")]
             except Exception as told:  # whatever is wrong with one file is said of it, and the others go on
-                found, error = [], f"{type(told).__name__}: {told}"
-            rows = [(path, r, c, v, None) for r, c, v in found] or [(path, None, None, None, error or "")]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["doc_id", "r", "c", "v", "error"])
+                rows = [(path, None, None, None, f"{type(told).__name__}: {told}")]
+            for k in range(0, len(rows), 10_000):
+                yield made(rows[k : k + 10_000])
 
 
 def xlsx_cells(files: DataFrame) -> DataFrame:
@@ -125,6 +79,16 @@ def xlsx_cells(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_cells, "doc_id string, r int, c int, v string, error string")
 
 
+def sheet_files(spark: SparkSession, path: str, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, fields, raw_text) and rejects (doc_id, error) of the spreadsheets below path, which tasks open where they lie; doc_id is the path. Sheets without any cell have neither."""
+    register(spark)
+    cells = spark.read.format("xlsx_cells").load(path)
+    # a file that broke off has cells before its fault, but is a reject
+    bad = cells.where("error is not null").select(F.col("path").alias("doc_id"), "error")
+    whole = cells.where("error is null").select(F.col("path").alias("doc_id"), "r", "c", "v").join(bad.select("doc_id"), "doc_id", "left_anti")
+    return sheet_documents(whole, settings), bad
+
+
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
