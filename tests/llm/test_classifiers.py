@@ -79,9 +79,8 @@ def test_quality_query(spark):
 def slow_models(texts):
     """Evidence of word w after h by the definition, from (words, toxic): interpolated Kneser-Ney of both classes over one shared lower order."""
     pairs = lambda t: list(zip(["^", *t], t, strict=False))
-    shared = {p for t, _ in texts for p in pairs(t)}
-    second = Counter(w for _, w in shared)
-    n, v = len(shared), len(second)
+    second = Counter(w for t, _ in texts for w in set(t))
+    n, v = second.total(), len(second)
 
     def probability(y, h, w):
         one, two = Counter(), Counter()
@@ -107,8 +106,8 @@ def test_evidence_against_the_definition(spark, head):
     known = spark.createDataFrame([(k, y) for k, _, y in rows] + [(99, rows[0][2])], "id long, toxic int")
     texts = tx.training_texts(training, known)
     kept = [(tx.words(r.text), r.toxic, r.fold) for r in texts.collect()]
-    counts = tx.gram_counts(texts)
-    table, constant = tx.evidence(counts)
+    counts = tx.word_counts(texts)
+    table, constant = tx.evidence(counts, tx.pair_counts(texts, counts, head))
     tests = ["a b", "b b b cя", "D я! quite new", "a b", "", " ".join(rng.choices("a b c d я 字 new".split(), k=50))]
     docs = spark.createDataFrame([(k, 0, f, t) for k, t in enumerate([*tests, None]) for f in (1, tx.FOLDS)], "id long, label int, fold int, text string")
     got = {(r.id, r.fold): r for r in tx.figures(docs, table, constant, [1, tx.FOLDS], head).collect()}
@@ -125,7 +124,8 @@ def test_evidence_against_the_definition(spark, head):
 def test_both_ways_have_the_same_figures(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     known = labels.where("toxic is not null").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-    table, constant = tx.evidence(tx.gram_counts(tx.training_texts(docs, known)))
+    texts = tx.training_texts(docs, known)
+    table, constant = tx.evidence(tx.word_counts(texts), tx.pair_counts(texts, tx.word_counts(texts)))
     rows = docs.select(F.col("doc_id").alias("id"), F.lit(None).cast("int").alias("label"), F.lit(tx.FOLDS).alias("fold"), "text")
     one, two = ({r.id: (r.n, round(r["mean"], 9), round(r.top, 9)) for r in tx.figures(rows, table, constant, [tx.FOLDS], head).collect()} for head in (10**6, 50))
     assert one == two and len({x[2] for x in one.values()}) > 50
@@ -138,12 +138,14 @@ def test_long_texts_are_counted_whole(monkeypatch):
     text = " ".join(random.Random(3).choices(["a", "b", "c", "dd"], k=400))
     batch = pa.RecordBatch.from_pydict({"text": [text, None, "zz", text], "toxic": [0, 1, 1, 1], "fold": [0, 0, 1, 0]})
     got = Counter()
-    for out in tx._counted(iter([batch])):
-        for r in out.to_pylist():
-            got[r["gram"], r["toxic"]] += r["n"]
+    for of_text in (tx._of_words, tx._of_pairs(None)):
+        for out in tx._counted(of_text)(iter([batch])):
+            for r in out.to_pylist():
+                got[r["gram"], r["toxic"]] += r["n"]
     found = tx.words(text)
-    grams = set(found) | {f"{h} {w}" for h, w in zip(["^", *found], found, strict=False)}
-    assert got == Counter({**{(g, y): 1 for g in grams for y in (0, 1)}, ("zz", 1): 1, ("^ zz", 1): 1})
+    pairs = set(zip(["^", *found], found, strict=False))
+    grams = {**dict.fromkeys(found, 1), **{f"{h} {w}": 1 for h, w in pairs}, **Counter(f"{h} " for h, _ in pairs)}
+    assert got == Counter({**{(g, y): n for g, n in grams.items() for y in (0, 1)}, ("zz", 1): 1, ("^ zz", 1): 1, ("^ ", 1): 2})
 
 
 def test_toxicity_rows(spark):
