@@ -76,8 +76,8 @@ def test_quality_query(spark):
 # --- the models
 
 
-def slow_models(texts):
-    """Evidence of word w after h by the definition, from (words, toxic): interpolated Kneser-Ney of both classes over one shared lower order."""
+def slow_models(texts, every):
+    """Evidence of word w after h by the definition, from (words, toxic): interpolated Kneser-Ney of both classes over one shared lower order; the pairs that count are those of over 3 toxic texts of `every`."""
     pairs = lambda t: list(zip(["^", *t], t, strict=False))
     second = Counter(w for t, _ in texts for w in set(t))
     n, v = second.total(), len(second)
@@ -90,10 +90,12 @@ def slow_models(texts):
                 two.update(set(pairs(t)))
         base = (max(second[w] - 0.75, 0) + 0.75 * v / (v + 1)) / n
         of_words = max(one[w] - 3, 0) / one.total() + sum(min(3, x) for x in one.values()) / one.total() * base
+        known = Counter(p for t, kind in every if kind == 1 for p in set(pairs(t)))
         after = {p: x for p, x in two.items() if p[0] == h}
         if not after:
             return of_words
-        return max(two[h, w] - 3, 0) / sum(after.values()) + sum(min(3, x) for x in after.values()) / sum(after.values()) * of_words
+        own = {p: max(x - 3, 0) for p, x in after.items() if known[p] > 3}
+        return (own.get((h, w), 0) + (sum(after.values()) - sum(own.values())) * of_words) / sum(after.values())
 
     return lambda h, w: math.log(probability(1, h, w)) - math.log(probability(0, h, w))
 
@@ -112,7 +114,7 @@ def test_evidence_against_the_definition(spark, head):
     docs = spark.createDataFrame([(k, 0, f, t) for k, t in enumerate([*tests, None]) for f in (1, tx.FOLDS)], "id long, label int, fold int, text string")
     got = {(r.id, r.fold): r for r in tx.figures(docs, table, constant, [1, tx.FOLDS], head).collect()}
     for fold in (1, tx.FOLDS):  # a model that leaves out a fold, and the one that leaves out none
-        slow = slow_models([(t, y) for t, y, f in kept if f != fold])
+        slow = slow_models([(t, y) for t, y, f in kept if f != fold], [(t, y) for t, y, _ in kept])
         for k, text in enumerate(tests):
             found, r = tx.words(text), got[k, fold]
             assert r.n == len(found)
@@ -138,7 +140,7 @@ def test_long_texts_are_counted_whole(monkeypatch):
     text = " ".join(random.Random(3).choices(["a", "b", "c", "dd"], k=400))
     batch = pa.RecordBatch.from_pydict({"text": [text, None, "zz", text], "toxic": [0, 1, 1, 1], "fold": [0, 0, 1, 0]})
     got = Counter()
-    for of_text in (tx._of_words, tx._of_pairs(None)):
+    for of_text in (tx._of_words, tx._of_pairs()):
         for out in tx._counted(of_text)(iter([batch])):
             for r in out.to_pylist():
                 got[r["gram"], r["toxic"]] += r["n"]
