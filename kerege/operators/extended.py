@@ -115,7 +115,9 @@ def findings(docs: DataFrame, lines: DataFrame, as_of: str, period: tuple[str, s
     counted = line_counts(lines)
     rows = docs.join(counted, "doc_id", "left").fillna(0, [c for c in counted.columns if c != "doc_id"])
     numbers = docs.where("number is not null").select(F.col("number").alias("__referred")).distinct()
-    rows = rows.join(numbers, rows["reference"] == numbers["__referred"], "left")
+    # documents without a reference, most of them, get a key of their own each, which no number is: else all would meet at one
+    rows = rows.withColumn("__sought", F.coalesce("reference", F.concat(F.lit("\u0000"), F.col("doc_id").cast("string"))))
+    rows = rows.join(numbers, rows["__sought"] == numbers["__referred"], "left")
     rows = rows.withColumns({"__day": parse_date_exact(F.coalesce("issue_date", F.lit(""))), "__total": parse_number(F.coalesce("total", F.lit("")))})
     rules = _rules(F.lit(as_of).cast("date"), period)
     if version != "v1":

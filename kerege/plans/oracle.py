@@ -281,7 +281,9 @@ select key, text, case when key % 6 in (0, 1, 2, 4) then d end as found, case wh
     + ", ".join(f"round(greatest(0.0, {', '.join(_alike('h', plain_key(a)) for a in aliases)}), 6) as {kind}" for kind, aliases in fixed.HEADER_ALIASES.items() if aliases)
     + " from k) select *, total_amount >= 0.3 as alike from x",
     # the moved places are made first, so that the join is on plain columns
-    "cell_neighbours": f"with {CELLS}, moved as (select a.*, k, a.r + dr as r2, a.c + dc as c2 from cl a, {_moves([(0, -1), (-1, 0)])} o) select m.doc_id, m.r, m.c, m.v, m.k, m.r2, m.c2, b.v as v2 from moved m join cl b on b.doc_id = m.doc_id and b.r = m.r2 and b.c = m.c2",
+    "cell_neighbours": f"""with {CELLS.replace("cl as (", "cl as materialized (")}
+select a.doc_id, a.r, a.c, a.v, 0 as k, a.r as r2, a.c - 1 as c2, b.v as v2 from cl a join cl b on b.doc_id = a.doc_id and b.r = a.r and b.c = a.c - 1
+union all select a.doc_id, a.r, a.c, a.v, 1, a.r - 1, a.c, b.v from cl a join cl b on b.doc_id = a.doc_id and b.r = a.r - 1 and b.c = a.c""",
     "cell_bin_label": f"with {LABELLED} select doc_id, role, {_digits('v2')} as bin, 'LABEL@R' || r || 'C' || c || '->R' || r2 || 'C' || c2 as trace from pick where p = 1",
     "cell_bin_context": f"with {CONTEXT} select doc_id, 'supplier_bin' as role, {_digits('v')} as bin, 'CTX@R' || r || 'C' || c as trace from sup where p = 1 union all select doc_id, 'buyer_bin', {_digits('v')}, 'CTX@R' || r || 'C' || c from buy where p = 1",
     "cell_dates": f"with {CELLS} select doc_id, strftime(day, '%Y-%m-%d') as issue_date from inv",

@@ -9,9 +9,9 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from kerege.plans import checks, oracle, queries
+from kerege.plans import checks, oracle, queries, rare
 
-ORACLE_SQL, QUERIES = oracle.ORACLE_SQL | checks.ORACLE_SQL, queries.QUERIES | checks.QUERIES
+ORACLE_SQL, QUERIES = oracle.ORACLE_SQL | checks.ORACLE_SQL | rare.ORACLE_SQL, queries.QUERIES | checks.QUERIES | rare.QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
