@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerege.functions import scalars as S
+from kerege.operators import catalogue as C
 from kerege.operators import cells as X
 from kerege.operators import extended as E
 from kerege.operators import reports as R
 from kerege.operators import validation as V
 from kerege.plans import oracle as O
+from kerege.plans import queries as Q
 from kerege.sources import invoices as I
 
 AS_OF = I.AS_OF
@@ -129,5 +131,23 @@ r as (select 'BIN001' as code, length({O._digits("supplier")}) = 12 as ok from f
 select code, case when ok then 'OK' else 'ERROR' end as level, count(*) as n from r group by all
 """
 
-QUERIES = {f.__name__: f for f in (mojibake_forms, cell_dates_mixed, cell_totals_preferred, extended_rules_rare, legacy_text_counts)}
-ORACLE_SQL = {"mojibake_forms": MOJIBAKE_SQL, "cell_dates_mixed": DATES_SQL, "cell_totals_preferred": PREFERRED_SQL, "extended_rules_rare": RARE_SQL, "legacy_text_counts": LEGACY_TEXT_SQL}
+def catalog_labels(spark, sf_dir: str) -> DataFrame:
+    """The catalogue with a rule for each label that the documents have and it hasn't, and without those that found nothing in any document."""
+    truth = Q.mutation_truth(spark, sf_dir).where("check_code <> 'BASE'")
+    new = truth.groupBy(F.col("check_code").alias("code")).agg(F.max(F.when(F.col("expected_status") == "ERROR", "ERROR").otherwise("WARN")).alias("level"), F.max("expected_message").alias("title"))
+    new = new.select("code", "level", "title", F.lit("").alias("description"), F.lit("").alias("recommendation"))
+    found = Q.rule_results_long(spark, sf_dir).where("level <> 'OK'").select("code").distinct()
+    rules = C.catalogue(spark)
+    return C.with_rules(rules.join(found, "code", "left_semi"), new)
+
+
+LABELS_SQL = f"""
+with {O.RES},
+cat0 as {O._values([(c, *v) for c, v in O.fixed.CATALOGUE.items()], "code, level, title, description, recommendation")},
+kept as (select * from cat0 where code in (select code from res where level <> 'OK')),
+told as (select distinct check_code as code, case expected_status when 'ERROR' then 'ERROR' else 'WARN' end as level, expected_message as title from mut join {O._TRUTH} v on mut.m = v.m)
+select code, level, title, description, recommendation from kept union all select code, level, title, '', '' from told where code not in (select code from kept)
+"""
+
+QUERIES = {f.__name__: f for f in (mojibake_forms, cell_dates_mixed, cell_totals_preferred, extended_rules_rare, legacy_text_counts, catalog_labels)}
+ORACLE_SQL = {"mojibake_forms": MOJIBAKE_SQL, "cell_dates_mixed": DATES_SQL, "cell_totals_preferred": PREFERRED_SQL, "extended_rules_rare": RARE_SQL, "legacy_text_counts": LEGACY_TEXT_SQL, "catalog_labels": LABELS_SQL}
