@@ -28,6 +28,12 @@ def stripped(text: Column) -> Column:
     return F.trim(text, F.lit(_SPACES))
 
 
+def trimmed(value: Column) -> Column:
+    """stripped, for a column or a field: a text with no white space at its ends stays as it is, as trimming looks up each end among all of _SPACES. Outside of lambdas only, where such tests are compiled."""
+    solid = lambda x: x.between(0x21, 0x84) | x.between(0xA1, 0x167F)
+    return F.when(solid(F.ascii(value)) & solid(F.ascii(F.substring(value, -1, 1))), value).otherwise(stripped(value))
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value evaluated once however often it is used."""
     return F.get(F.transform(F.array(value), use), 0)
@@ -113,6 +119,11 @@ def _made_of(year: int, month: int, day: int) -> Callable[[Column], Column]:
     return lambda parts: _made(F.get(parts, year), F.get(parts, month), F.get(parts, day))
 
 
+def parse_date_text(text: Column) -> Column:
+    """parse_date_found for a column whose texts are mostly dates in ISO form, which need no search."""
+    return F.coalesce(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date")), parse_date_found(text))
+
+
 def month_number(name: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, fixed.MONTHS)), F.lower(name)).cast("int")
 

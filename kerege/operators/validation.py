@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerege.functions import fixed
-from kerege.functions.scalars import bound, esf_section, first_of, fix_mojibake, holds_sql, identifier_number, is_bin, parse_date_exact, parse_date_found, parse_number, stripped, to_iso
+from kerege.functions.scalars import bound, esf_section, first_of, fix_mojibake, holds_sql, identifier_number, is_bin, parse_date_exact, parse_date_text, parse_number, stripped, to_iso, trimmed
 from kerege.operators.text_facts import text_bin, text_date, text_total
 from kerege.settings import Settings
 
@@ -33,7 +33,7 @@ def _sourced(docs: DataFrame) -> DataFrame:
             "__issue": F.coalesce(there("issue_date"), *[F.nullif(_given(k), F.lit("")) for k in fixed.DATE_SOURCES]),
         }
     )
-    return given.withColumn("__iso", F.nullif(to_iso(parse_date_found(F.col("__issue"))), F.lit("")))
+    return given.withColumn("__iso", F.nullif(to_iso(parse_date_text(F.col("__issue"))), F.lit("")))
 
 
 def _given(key: str) -> Column:
@@ -78,17 +78,29 @@ def with_texts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     return repaired.withColumn("section_text", F.when(F.col("full_text") == "", F.lit("")).otherwise(section))
 
 
+#: Canonical fields that facts are looked up in first.
+_KNOWN = ("supplier_BIN", "supplier_bin", "recipient_BIN", "buyer_bin", "issue_date", "date_issue", "total_amount")
+
+
 def _first(keys: list[str]) -> Column:
-    """The first filled value of the map __look under these keys; empty without one. A small expression for however many keys, as planning takes longer than looking up."""
-    names = F.array(*map(F.lit, keys))
-    return F.coalesce(F.get(F.filter(F.transform(names, lambda k: stripped(F.try_element_at("__look", k))), lambda x: x != ""), 0), F.lit(""))
+    """The first filled value under these keys, stripped; empty without one. Over the columns __at_<n> of canonical fields and, for documents where the first keys are blank, the map of all others."""
+    n = next((k for k, key in enumerate(keys) if key not in _KNOWN), len(keys))
+    at = lambda k: F.col(f"__at_{_KNOWN.index(k)}")
+    rest = F.array(*[at(k) if k in _KNOWN else _given(k) for k in keys[n:]])
+    return F.coalesce(*[F.nullif(at(k), F.lit("")) for k in keys[:n]], *([F.get(F.filter(F.transform(rest, stripped), lambda x: x != ""), 0)] if n < len(keys) else []), F.lit(""))
 
 
 def with_facts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """docs (not yet normalised) with the texts that the rules look at; text is searched only where no field is filled, first the section and then all of it."""
+    """docs (not yet normalised) with the texts that the rules look at, and their numbers and dates; text is searched only where no field is filled, first the section and then all of it.
+
+    What rules share is a column of its own: expressions that stand in lambdas or under arrays that lambdas go through are interpreted, all others are compiled.
+    """
     both = lambda find: F.when(F.col("full_text") == "", F.lit("")).otherwise(F.coalesce(F.nullif(find(F.col("section_text")), F.lit("")), find(F.col("full_text"))))
     told = settings or Settings()
-    facts = normalized(docs).withColumnRenamed("fields", "__look").withColumns(
+    values = _canonical()
+    known = _sourced(docs).withColumns({f"__value_{n}": F.coalesce(values[k], F.lit("")) for n, k in enumerate(_KNOWN)})
+    known = known.withColumns({f"__at_{n}": trimmed(F.col(f"__value_{n}")) for n in range(len(_KNOWN))})
+    facts = known.withColumns(
         {
             "supplier": _first(fixed.SUPPLIER_KEYS),
             "buyer": _first(fixed.BUYER_KEYS),
@@ -100,24 +112,33 @@ def with_facts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
             "future": _first(fixed.FUTURE_KEYS),
             "total": _first(fixed.TOTAL_KEYS),
         }
-    ).drop("__look")
+    ).drop("fields", *_SOURCED, *[f"__{at}_{n}" for at in ("value", "at") for n in range(len(_KNOWN))])
+    facts = facts.withColumn("total_number", parse_number(F.col("total")))
+    facts = facts.withColumn("indexed", is_table_index(F.col("total_number")))
     texts = ("text_supplier", "text_buyer", "text_date", "text_total")
     facts = facts.withColumns(dict.fromkeys(texts, F.lit(""))) if "raw_text" not in docs.columns else facts.withColumns(
         {
             "text_supplier": F.when((F.col("supplier") == "") | (F.col("equal_supplier") == "") | (F.col("check_supplier") == ""), both(lambda t: text_bin(t, fixed.SUPPLIER_LABELS))).otherwise(F.lit("")),
             "text_buyer": F.when((F.col("buyer") == "") | (F.col("equal_buyer") == "") | (F.col("check_buyer") == ""), both(lambda t: text_bin(t, fixed.BUYER_LABELS))).otherwise(F.lit("")),
             "text_date": F.when((F.col("date") == "") | (F.col("future") == ""), both(text_date)).otherwise(F.lit("")),
-            "text_total": F.when((F.col("total") == "") | is_table_index(parse_number(F.col("total"))), both(lambda t: text_total(t, told.max_gap, told.total_labels))).otherwise(F.lit("")),
+            "text_total": F.when((F.col("total") == "") | F.col("indexed"), both(lambda t: text_total(t, told.max_gap, told.total_labels))).otherwise(F.lit("")),
         }
     )
     filled = lambda name, text: F.when(F.col(name) == "", F.col(text)).otherwise(F.col(name)).alias(name)
     of = {n: filled(n, f"text_{n.split('_')[-1]}") for n in ("supplier", "buyer", "equal_supplier", "equal_buyer", "check_supplier", "check_buyer", "date")}
     of["future"] = filled("future", "text_date")
-    indexed = is_table_index(parse_number(F.col("total")))
-    of["positive_total"] = F.when((F.col("total") == "") | indexed, F.col("text_total")).otherwise(F.col("total"))
+    of["positive_total"] = F.when((F.col("total") == "") | F.col("indexed"), F.col("text_total")).otherwise(F.col("total"))
     of["signed_total"] = F.when(F.col("total") == "", F.col("text_total")).otherwise(F.col("total"))
     facts = facts.withColumns(of)
-    return facts.withColumns({f"{c}_number": identifier_number(F.col(c)) for c in ("check_supplier", "check_buyer")})
+    number = lambda name: F.when(F.col(name) == F.col("total"), F.col("total_number")).otherwise(parse_number(F.col(name)))
+    facts = facts.withColumns(
+        {f"{c}_number": identifier_number(F.col(c)) for c in ("check_supplier", "check_buyer")}
+        | {f"{c}_is_bin": is_bin(F.col(c)) for c in ("supplier", "buyer")}
+        | {f"{c}_number": number(c) for c in ("positive_total", "signed_total")}
+        | {"day": parse_date_exact(F.col("date"))}
+    )
+    same = F.when(F.col("future") == F.col("date"), F.col("day")).otherwise(parse_date_exact(F.col("future")))
+    return facts.withColumns({f"{c}_holds": F.expr(holds_sql(f"{c}_number")) for c in ("check_supplier", "check_buyer")} | {"future_day": same, "positive_indexed": is_table_index(F.col("positive_total_number"))})
 
 
 def is_table_index(number: Column) -> Column:
@@ -141,7 +162,7 @@ def _right(code: str, value: Column) -> Column:
 
 
 def _present(code: str, fact: str) -> Column:
-    return F.when(is_bin(F.col(fact)), _right(code, F.col(fact))).otherwise(_failed(code, F.col(fact)))
+    return F.when(F.col(f"{fact}_is_bin"), _right(code, F.col(fact))).otherwise(_failed(code, F.col(fact)))
 
 
 def _equal(as_of: Column) -> Column:
@@ -156,35 +177,34 @@ def _equal_allowed(as_of: Column) -> Column:
 
 
 def _dated(as_of: Column) -> Column:
-    return F.when(parse_date_exact(F.col("date")).isNull(), _failed("D000", F.col("date"))).otherwise(_right("D000", F.col("date")))
+    return F.when(F.col("day").isNull(), _failed("D000", F.col("date"))).otherwise(_right("D000", F.col("date")))
 
 
 def _not_future(as_of: Column) -> Column:
-    late = F.coalesce(parse_date_exact(F.col("future")) > as_of, F.lit(False))
+    late = F.coalesce(F.col("future_day") > as_of, F.lit(False))
     return F.when(late, _failed("D001", F.col("future"))).otherwise(_right("D001", F.col("future")))
 
 
 def _total(as_of: Column) -> Column:
     value = F.col("positive_total")
-    number = parse_number(value)
-    first = parse_number(F.col("total"))
+    number, first = F.col("positive_total_number"), F.col("total_number")
     unusual = lambda x: x.isNotNull() & (F.isnan(x) | (F.abs(x) == float("inf")))
     # such totals can't be rounded, which ends the rule: its name stands for the code; a negative one fails before that
     broken = F.coalesce(unusual(first), F.lit(False)) | F.coalesce(unusual(number) & ~(number == float("-inf")), F.lit(False))
     broken_item = _item("_rule_TOT001", "ERROR", fixed.RULE_FAILED[0], "_rule_TOT001", fixed.RULE_FAILED[1])
-    bad = number.isNull() | (number <= 0) | is_table_index(number)
+    bad = number.isNull() | (number <= 0) | F.col("positive_indexed")
     return F.when(broken, broken_item).when(value == "", _failed("TOT001")).when(bad, _failed("TOT001", value)).otherwise(_right("TOT001", value))
 
 
 def _negative(as_of: Column) -> Column:
-    return F.when(F.coalesce(parse_number(F.col("signed_total")) < 0, F.lit(False)), _failed("NEG001", F.col("signed_total")))
+    return F.when(F.coalesce(F.col("signed_total_number") < 0, F.lit(False)), _failed("NEG001", F.col("signed_total")))
 
 
 def _checksum(fact: str, role: str) -> Callable[[Column], Column]:
     def rule(as_of: Column) -> Column:
         level, title, *rest = fixed.CATALOGUE["BIN012"]
         bad = _item("BIN012", level, f"{title} ({role})", *rest, value=F.col(fact))
-        return F.when(~is_bin(F.col(fact)), None).when(F.expr(holds_sql(f"{fact}_number")), _item("BIN012", "OK", fixed.CHECKSUM_OK.format(role=role), value=F.col(fact))).otherwise(bad)
+        return F.when(F.col(f"{fact}_number").isNull(), None).when(F.col(f"{fact}_holds"), _item("BIN012", "OK", fixed.CHECKSUM_OK.format(role=role), value=F.col(fact))).otherwise(bad)
 
     return rule
 
@@ -247,8 +267,10 @@ def checked(docs: DataFrame, as_of: str | None = None, rules: list[str] | tuple[
     made = RULES | ({"BIN007": _equal_allowed} if told.allow_equal_bins else {})
     names = [r for r in rules or made if told.checksum or not r.startswith("BIN012")]
     facts = with_facts(with_texts(docs, told), told)
-    found = F.array(*[made[r](day).cast(_Value) for r in names if r not in _ADDED]).cast(f"array<{_Value}>")
-    items = F.filter(found, lambda x: x.isNotNull())
+    own = {f"__item_{k}": made[r](day).cast(_Value) for k, r in enumerate(r for r in names if r not in _ADDED)}
+    facts = facts.withColumns(own)
+    none = F.array().cast(f"array<{_Value}>")
+    items = F.concat(none, *[F.when(F.col(x).isNull(), none).otherwise(F.array(F.col(x))) for x in own])
     added = [guarded(made[r](day), r, _ADDED[r]) for r in names if r in _ADDED]
     return facts.select("doc_id", (F.concat(items, *added) if added else items).alias("items"))
 
@@ -262,7 +284,8 @@ def legacy_checked(docs: DataFrame, as_of: str | None = None, settings: Settings
     facts = {name: F.coalesce(F.nullif(first_of(F.col("fields"), keys), F.lit("")), text_bin(F.col("raw_text"), labels)) for name, keys, labels in pairs}
     facts["date"] = first_of(F.col("fields"), fixed.LEGACY_DATE_KEYS)
     rows = given.select("doc_id", *[v.alias(k) for k, v in facts.items()])
-    rows = rows.withColumns({f"{c}_number": identifier_number(F.col(c)) for c in ("supplier", "buyer")})
+    rows = rows.withColumns({f"{c}_number": identifier_number(F.col(c)) for c in ("supplier", "buyer")} | {f"{c}_is_bin": is_bin(F.col(c)) for c in ("supplier", "buyer")})
+    rows = rows.withColumns({f"{c}_holds": F.expr(holds_sql(f"{c}_number")) for c in ("supplier", "buyer")})
     date = F.when(~F.col("date").rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), parse_date_exact(F.col("date")))
     late = F.when(date > day, _failed("D001", F.col("date"))).when(date.isNotNull(), _right("D001", F.col("date")))
     made = [_present("BIN001", "supplier"), _present("BIN002", "buyer"), F.when(date.isNull(), _failed("D000", F.col("date"))).otherwise(_right("D000", F.col("date"))), late]
@@ -273,7 +296,7 @@ def legacy_checked(docs: DataFrame, as_of: str | None = None, settings: Settings
 
 def message(item: Column, show_values: bool = True) -> Column:
     """Title, description and recommendation, those that aren't blank; and the value, if there is one."""
-    parts = F.concat_ws(" — ", *[F.nullif(stripped(item[c]), F.lit("")) for c in ("title", "description", "recommendation")])
+    parts = F.concat_ws(" — ", *[F.nullif(trimmed(item[c]), F.lit("")) for c in ("title", "description", "recommendation")])
     return F.concat(parts, F.when(item["value"].isNotNull(), F.concat(F.lit(" [значение: "), item["value"], F.lit("]"))).otherwise(F.lit(""))) if show_values else parts
 
 
@@ -285,8 +308,9 @@ def priority(code: Column, told: dict[str, int] = fixed.PRIORITY) -> Column:
 def results(items: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, ord, code, level, message, value: items sorted by priority, code and the rules' order; ord counts from 0."""
     told = settings or Settings()
-    scored = F.transform("items", lambda x, k: F.struct(priority(x["code"], told.priority).alias("priority"), x["code"].alias("code"), k.alias("k"), F.upper(x["level"]).alias("level"), message(x, told.show_values).alias("message"), x["value"].alias("value")))
-    return items.select("doc_id", F.posexplode_outer(F.array_sort(scored)).alias("ord", "x")).where("x is not null").select("doc_id", "ord", "x.code", "x.level", "x.message", "x.value")
+    scored = F.transform("items", lambda x, k: F.struct(priority(x["code"], told.priority).alias("priority"), x["code"].alias("code"), k.alias("k"), x.alias("item")))
+    rows = items.select("doc_id", F.posexplode_outer(F.sort_array(scored)).alias("ord", "x")).where("x is not null").select("doc_id", "ord", F.col("x.item").alias("item"))
+    return rows.select("doc_id", "ord", "item.code", F.upper("item.level").alias("level"), message(F.col("item"), told.show_values).alias("message"), "item.value")
 
 
 def rule_items(docs: DataFrame, code: str, as_of: str | None = None) -> DataFrame:
