@@ -189,3 +189,23 @@ def test_keywords_of_several_words(spark):
     assert {(r.doc_id, r.language) for r in K.keyword_roles(docs, index).where("is_language").collect()} == {(1, "x"), (3, "x"), (4, "y")}
     told = {r.doc_id: (r.language, r.roles, r.is_invoice) for r in K.recognised(K.keyword_roles(docs, index), ("a", "b")).collect()}
     assert told == {1: ("x", ["a", "b"], True), 3: ("x", ["a", "b"], True), 4: ("y", ["c"], False)}
+
+
+def test_keywords_in_a_row_as_by_groups(spark):
+    """Votes that are counted inside of a document's row are those of grouped words, and their plan has no exchange or sort of rows."""
+    words = spark.createDataFrame([("x", "a", "one two"), ("x", "a", "two"), ("x", "b", "two one two"), ("y", "a", "one"), ("y", "b", "one two"), ("z", "c", "three")], "language string, role string, keyword string")
+    docs = spark.createDataFrame([(1, "one two one two"), (2, "two"), (3, None), (4, "three, ONE; two one"), (5, "two two one two two one two")], "doc_id long, text string")
+    index = K.keyword_index(words)
+    row = K.keyword_roles(docs, index)
+    assert sorted(map(tuple, row.collect())) == sorted(map(tuple, K._by_groups(docs, index).collect()))
+    plan = row._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "doc_id" not in "".join(x for x in plan.splitlines() if "Aggregate" in x)
+    assert K.keyword_roles(docs, index.where("false")).collect() == []
+
+
+def test_places_of_sections_that_letters_touch(spark):
+    """A name counts where it stands as words of its own, also behind places where it is a part of others."""
+    rows = [("aB B aBc", ["B", "aB", "c", ""]), ("xB", ["B", "x"]), ("", ["B"]), ("B1 B-1 1B", ["B", "B1"]), ("A.B \\E A", ["A.B", "\\E A", "A"])]
+    docs = spark.createDataFrame(rows, "text string, names array<string>")
+    got = [r.p for r in docs.select(M.first_places(F.col("text"), F.col("names")).alias("p")).collect()]
+    assert [p[:3] for p in got] == [[4, 1, 0], [0, 0], [0], [4, 1], [1, 5, 1]]
