@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerege.functions import fixed
+from kerege.functions.scalars import bound
 
 TEMPLATE = "template string, sections array<string>, fields array<struct<field:string,pattern:string,required:boolean>>, checks array<struct<name:string,enabled:boolean>>"
 #: Templates that are broadcast at most; more of them meet their documents by shuffle.
@@ -43,7 +44,20 @@ def with_template(docs: DataFrame, told: DataFrame) -> DataFrame:
 
 def first_places(text: Column, names: Column) -> Column:
     """Where each of the names first stands in the text as words of its own, from 1; 0 if nowhere."""
-    return F.transform(names, lambda n: F.regexp_instr(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), n, F.lit(r"\E(?![\p{L}\p{N}])"))))
+    return F.transform(names, lambda n: _first_place(text, n))
+
+
+def _first_place(text: Column, name: Column) -> Column:
+    """A pattern that differs from name to name is compiled anew each time, so the name's first place is looked up; only where letters or digits touch it there a pattern looks for the next ones."""
+
+    def told(at: Column) -> Column:
+        before = F.when(at > 1, F.substr(text, at - 1, F.lit(1))).otherwise("")
+        touched = F.concat(before, F.substr(text, at + F.length(name), F.lit(1))).rlike(r"[\p{L}\p{N}]")
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), name, F.lit(r"\E(?![\p{L}\p{N}])"))
+        later = bound(F.split(text, pattern, F.lit(2)), lambda s: F.when(F.size(s) > 1, F.length(F.get(s, 0)) + 1).otherwise(0))
+        return F.when(name == "", F.regexp_instr(text, pattern)).when(at == 0, 0).when(touched, later).otherwise(at)
+
+    return bound(F.call_function("locate", name, text), told)
 
 
 def longest_run(places: Column) -> Column:

@@ -180,7 +180,9 @@ def sectioned(base: DataFrame) -> DataFrame:
     names = F.array(*map(F.lit, fixed.TEMPLATE_SECTIONS))
     body = F.array(F.concat(F.lit("Дата выписки "), day), F.concat(F.lit("БИН "), "supplier_bin"), F.concat(F.lit("БИН "), "buyer_bin"), F.lit("Раздел АБ не раздел"), F.lit("виртуальный склад"), F.concat(F.lit("Всего "), total), F.when(F.col("doc_id") % 3 > 0, "ЭЦП поставщика").otherwise(""))
     place = lambda k: F.when(k == i, j).when(k == j, i).otherwise(k)
-    kept = F.filter(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.when(place(k) != out, F.concat(F.get(names, place(k)), F.lit(". Текст\n"), F.get(body, place(k))))), lambda x: x.isNotNull())
+    # the sections' texts are made once, not at each place
+    parts = lambda made: F.transform(F.array(*[F.struct(place(F.lit(k)).alias("p")) for k in range(7)]), lambda x: F.when(x["p"] != out, F.concat(F.get(names, x["p"]), F.lit(". Текст\n"), F.get(made, x["p"]))))
+    kept = F.filter(F.get(F.transform(F.array(body), parts), 0), lambda x: x.isNotNull())
     last = F.when(again < 7, F.concat(F.get(names, again), F.lit(" (продолжение)"))).otherwise("")
     return base.select("doc_id", F.concat(F.lit("ЭСФ\n"), F.array_join(kept, "\n"), F.lit("\n"), last).alias("text"))
 
