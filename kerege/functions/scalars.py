@@ -39,6 +39,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def filled(value: Column) -> Column:
+    """The value, null if it is empty. It is evaluated once: nullif evaluates it twice inside of a condition, and four times inside of another nullif."""
+    return F.get(F.filter(F.array(value), lambda x: x != ""), 0)
+
+
 def clean_text(text: Column) -> Column:
     """Single spaces for all white and hidden characters; null is empty."""
     spaced = F.regexp_replace(F.coalesce(text, F.lit("")), "[ ​‎ \t\r\n]", " ")
@@ -199,7 +204,7 @@ def header_similarity(key: str, aliases: list[str], at_least: float = 0.0) -> Co
 
 
 def cyrillic_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("[А-яЁёІіґҐЇї]"))
+    return F.length(F.regexp_replace(text, "[^А-яЁёІіґҐЇї]+", ""))
 
 
 #: Characters of code page 1251 for the bytes 80 to FF but 98, and of 1252 for those bytes that it has between 80 and 9F.
@@ -221,25 +226,25 @@ def _as_1251(text: Column) -> Column:
 
 def _as_utf8(text: Column) -> Column:
     """The characters' code page 1252 bytes read as UTF-8; null if they have none or aren't."""
-    data = F.encode(F.translate(F.when(~text.rlike(f"[^\\x00-\\x7F\\xA0-\\xFF{_FROM_1252}]"), text), _FROM_1252, _TO_1252), "ISO-8859-1")
+    whole = F.when(text.rlike(f"[{_FROM_1252}]"), F.translate(text, _FROM_1252, _TO_1252)).otherwise(text)
+    data = F.encode(F.when(~text.rlike(f"[^\\x00-\\x7F\\xA0-\\xFF{_FROM_1252}]"), whole), "ISO-8859-1")
     return F.try_validate_utf8(data.cast("string"))
 
 
 def fix_mojibake(text: Column) -> Column:
     """The reading with most Cyrillic letters of a text and its re-decodings; the first on ties. Pure Cyrillic texts have no re-decoding."""
-    one, two = _as_1251(text), _as_utf8(text)
-    readings = [text, one, two, _as_1251(two), _as_utf8(one)]
-    best = F.array_max(F.filter(F.array(*[F.struct(cyrillic_count(x).alias("n"), F.lit(-k).alias("k"), x.alias("text")) for k, x in enumerate(readings)]), lambda x: x.text.isNotNull()))
-    return F.when(text.rlike("[\\x80-\\xFF]"), best.text).otherwise(text)
+    once = F.struct(_as_1251(text).alias("one"), _as_utf8(text).alias("two"))
+    readings = bound(once, lambda r: F.array(text, r["one"], r["two"], _as_1251(r["two"]), _as_utf8(r["one"])))
+    counted = F.transform(readings, lambda x, k: F.when(x.isNotNull(), F.struct(cyrillic_count(x).alias("n"), (-k).alias("k"), x.alias("text"))))
+    return F.when(text.rlike("[\\x80-\\xFF]"), F.array_max(counted)["text"]).otherwise(text)
 
 
 def esf_section(text: Column, headers: Iterable[str] = tuple(fixed.SECTION_HEADERS)) -> Column:
     """From the first section header up to what follows the section; the whole text without a header."""
-    at = [F.nullif(F.regexp_instr(text, F.lit(f"(?iuU){h}")), F.lit(0)) for h in headers]
-    start = F.array_min(F.array(*at))
-    tail = F.substr(text, start)
-    stop = F.regexp_instr(tail, F.lit(f"(?iuUm){fixed.NEXT_SECTION}"))
-    return F.when(start.isNull(), text).otherwise(stripped(F.when(stop > 0, F.substr(tail, F.lit(1), stop - 1)).otherwise(tail)))
+    at = F.array(*[F.regexp_instr(text, F.lit(f"(?iuU){h}")) for h in headers])
+    first = F.array_min(F.filter(at, lambda x: x > 0))
+    cut = lambda tail: bound(F.regexp_instr(tail, F.lit(f"(?iuUm){fixed.NEXT_SECTION}")), lambda stop: stripped(F.when(stop > 0, F.substr(tail, F.lit(1), stop - 1)).otherwise(tail)))
+    return bound(first, lambda start: F.when(start.isNull(), text).otherwise(bound(F.substr(text, start), cut)))
 
 
 def looks_like_money(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kerege.functions import fixed
-from kerege.functions.scalars import bound, looks_like_money, month_number, near_identifier, only_digits, parse_number, stripped
+from kerege.functions.scalars import bound, filled, looks_like_money, month_number, near_identifier, only_digits, parse_number, stripped
 
 _FLAGS = "(?iuU)"
 #: Characters before and after a number in which a business number's name speaks against a total.
@@ -23,16 +23,16 @@ def _groups(pattern: str) -> int:
 def text_bin(text: Column, labels: list[str]) -> Column:
     """The number within 80 characters without digits (lines may end among them) behind the first label that has one; else empty."""
     found = [F.regexp_extract(text, rf"{_FLAGS}(?:{x})[^\d]{{0,80}}(\d[\d \-'.]{{3,}})", _groups(x) + 1) for x in labels]
-    return F.coalesce(*[F.nullif(stripped(x), F.lit("")) for x in found], F.lit(""))
+    return F.coalesce(*[filled(stripped(x)) for x in found], F.lit(""))
 
 
 def header_date(text: Column) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, f"{_FLAGS}{h}{fixed.ANY_DATE}", 1), F.lit("")) for h in fixed.HEADER_DATES], F.lit(""))
+    return F.coalesce(*[filled(F.regexp_extract(text, f"{_FLAGS}{h}{fixed.ANY_DATE}", 1)) for h in fixed.HEADER_DATES], F.lit(""))
 
 
 def body_date(text: Column) -> Column:
     """A labelled date, a date with a month's Russian name, or the first date with a border on both sides; else empty."""
-    labelled = [F.nullif(F.regexp_extract(text, rf"{_FLAGS}{x}\s*{fixed.ANY_DATE}", 1), F.lit("")) for x in fixed.DATE_LABELS]
+    labelled = [filled(F.regexp_extract(text, rf"{_FLAGS}{x}\s*{fixed.ANY_DATE}", 1)) for x in fixed.DATE_LABELS]
     named = _FLAGS + r"\b(\d{1,2})\b\s+(" + "|".join(fixed.MONTHS) + r")\s+\b(\d{4})\b"
     day, month, year = (F.regexp_extract(text, named, k) for k in (1, 2, 3))
     made = F.try_make_timestamp(year.try_cast("int"), month_number(month), day.try_cast("int"), F.lit(0), F.lit(0), F.lit(0))
@@ -41,7 +41,7 @@ def body_date(text: Column) -> Column:
 
 
 def text_date(text: Column) -> Column:
-    return F.coalesce(F.nullif(header_date(text), F.lit("")), body_date(text))
+    return F.coalesce(filled(header_date(text)), body_date(text))
 
 
 def _clear_of_identifiers(text: Column, start: Column, length: Column) -> Column:
@@ -50,16 +50,23 @@ def _clear_of_identifiers(text: Column, start: Column, length: Column) -> Column
     return ~near_identifier(F.substr(text, first, start + length + CONTEXT - first))
 
 
+def _behind(text: Column, pattern: str) -> Column:
+    """The number of a pattern's first place if it has money on it, else null; each search is made once, and those that follow only where the first has found something."""
+
+    def told(m: Column) -> Column:
+        start = F.regexp_instr(text, F.lit(pattern)) + F.length(m["whole"]) - F.length(m["raw"])
+        return F.when(looks_like_money(m["value"]) & parse_number(m["value"]).isNotNull() & _clear_of_identifiers(text, start, F.length(m["raw"])), m["value"])
+
+    def parts(whole: Column) -> Column:
+        told_of = lambda raw: bound(F.struct(whole.alias("whole"), raw.alias("raw"), stripped(raw).alias("value")), told)
+        return F.when(whole != "", bound(F.regexp_extract(text, pattern, 1), told_of))
+
+    return bound(F.regexp_extract(text, pattern, 0), parts)
+
+
 def preferred_total(text: Column) -> Column:
     """The number behind the first of the preferred labels whose first place has money on it; else empty."""
-    found = []
-    for label in fixed.PREFERRED_TOTALS:
-        pattern = rf"(?iuUs){label}[^\d]{{0,220}}{fixed.MONEY}"
-        whole, raw = F.regexp_extract(text, pattern, 0), F.regexp_extract(text, pattern, 1)
-        start = F.regexp_instr(text, F.lit(pattern)) + F.length(whole) - F.length(raw)
-        value = stripped(raw)
-        found.append(F.when((whole != "") & looks_like_money(value) & parse_number(value).isNotNull() & _clear_of_identifiers(text, start, F.length(raw)), value))
-    return F.coalesce(*found, F.lit(""))
+    return F.coalesce(*[_behind(text, rf"(?iuUs){label}[^\d]{{0,220}}{fixed.MONEY}") for label in fixed.PREFERRED_TOTALS], F.lit(""))
 
 
 #: What a money number is made of.
@@ -119,18 +126,18 @@ def _starts(text: Column, matches: Column) -> Column:
 
 
 def text_total(text: Column, gap: int = 140, total_labels: Iterable[str] = tuple(fixed.TOTAL_LABELS)) -> Column:
-    return F.coalesce(F.nullif(preferred_total(text), F.lit("")), scored_total(text, gap, total_labels))
+    return F.coalesce(filled(preferred_total(text)), scored_total(text, gap, total_labels))
 
 
 def pdf_bins(text: Column) -> tuple[Column, Column]:
     """Supplier's and buyer's number of a PDF's text: labelled, else the first and the second number behind БИН."""
-    first = lambda patterns: F.coalesce(*[F.nullif(F.regexp_extract(text, f"{_FLAGS}{p}", 1), F.lit("")) for p in patterns])
+    first = lambda patterns: F.coalesce(*[filled(F.regexp_extract(text, f"{_FLAGS}{p}", 1)) for p in patterns])
     every = F.regexp_extract_all(text, F.lit(f"{_FLAGS}{fixed.PDF_ANY}"), F.lit(1))
     return F.coalesce(first(fixed.PDF_SUPPLIER), F.get(every, 0), F.lit("")), F.coalesce(first(fixed.PDF_BUYER), F.get(every, 1), F.lit(""))
 
 
 def pdf_date(text: Column) -> Column:
-    found = F.coalesce(*[F.nullif(F.regexp_extract(text, f"{_FLAGS}{p}", 1), F.lit("")) for p in fixed.PDF_DATES], F.lit(""))
+    found = F.coalesce(*[filled(F.regexp_extract(text, f"{_FLAGS}{p}", 1)) for p in fixed.PDF_DATES], F.lit(""))
     return F.regexp_replace(found, r"(?U)\s*[./-]\s*", ".")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerege.functions import fixed
-from kerege.functions.scalars import bound, esf_section, first_of, fix_mojibake, holds_sql, identifier_number, is_bin, parse_date_exact, parse_date_text, parse_number, stripped, to_iso, trimmed
+from kerege.functions.scalars import bound, esf_section, filled as unless_empty, first_of, fix_mojibake, holds_sql, identifier_number, is_bin, parse_date_exact, parse_date_text, parse_number, stripped, to_iso, trimmed
 from kerege.operators.text_facts import text_bin, text_date, text_total
 from kerege.settings import Settings
 
@@ -95,7 +95,7 @@ def with_facts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
 
     What rules share is a column of its own: expressions that stand in lambdas or under arrays that lambdas go through are interpreted, all others are compiled.
     """
-    both = lambda find: F.when(F.col("full_text") == "", F.lit("")).otherwise(F.coalesce(F.nullif(find(F.col("section_text")), F.lit("")), find(F.col("full_text"))))
+    both = lambda find: F.when(F.col("full_text") == "", F.lit("")).otherwise(F.coalesce(unless_empty(find(F.col("section_text"))), F.when(F.col("section_text") != F.col("full_text"), find(F.col("full_text"))), F.lit("")))
     told = settings or Settings()
     values = _canonical()
     known = _sourced(docs).withColumns({f"__value_{n}": F.coalesce(values[k], F.lit("")) for n, k in enumerate(_KNOWN)})

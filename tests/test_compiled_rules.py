@@ -40,3 +40,18 @@ def test_keys_of_cells_are_made_once(spark):
     cells = spark.createDataFrame([(1, 1, 1, "БИН поставщика")], "doc_id long, r int, c int, v string")
     plan = X.labelled_bins(cells)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?U)[^\\w\\s]+") == 1
+
+
+def test_searches_are_made_once(spark):
+    """Decoding and searching stand in the plan as often as they are needed: nullif and repeated columns had them evaluated again and again."""
+    from pyspark.sql import functions as F
+
+    from kerege.functions import scalars as S
+    from kerege.operators import text_facts as T
+
+    text = spark.createDataFrame([("Итого: 1 200,50 тг",), ("Ñ÷åò",), ("",), (None,)], "text string")
+    plan = lambda c: text.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan(S.fix_mojibake(F.col("text"))).count("translate(") <= 4
+    assert plan(T.text_bin(F.col("text"), ["БИН"])).count("regexp_extract(") == 1
+    assert [r.x for r in text.select(S.fix_mojibake(F.col("text")).alias("x")).collect()] == ["Итого: 1 200,50 тг", "Счет", "", None]
+    assert [r.x for r in text.select(T.preferred_total(F.col("text")).alias("x")).collect()] == [""] * 4
