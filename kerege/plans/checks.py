@@ -143,13 +143,14 @@ def _xml(spark, sf_dir: str) -> DataFrame:
 
 def xml_documents(spark, sf_dir: str) -> DataFrame:
     """Fields and lines of invoices read from XML, and what XML001 says of each in the catalogue that has it."""
-    texts = _xml(spark, sf_dir)
-    good, _ = X.xml_documents(texts)
+    rows = X.parsed(_xml(spark, sf_dir))
     names = ("supplier_BIN", "recipient_BIN", "date_issue", "total_amount")
     sums = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + F.round(x["amount"] * 100).cast("bigint"))
-    found = good.select("doc_id", *[F.try_element_at("fields", F.lit(n)).alias(n) for n in names], F.size("lines").alias("n_lines"), sums.alias("lines_cents"), F.get("lines", 0)["name"].alias("first_name"))
-    told = C.described(C.coded(X.xml_items(texts)), C.versions(spark), ("v2.5",)).select("doc_id", "code", "level", "message")
-    return told.join(found, "doc_id", "left")
+    good = lambda x: F.when(F.col("fields").isNotNull(), x)
+    # what is read goes along with the key, so that each text is parsed once and none is joined to itself
+    found = F.struct("doc_id", *[F.try_element_at("fields", F.lit(n)).alias(n) for n in names], good(F.size("lines")).alias("n_lines"), good(sums).alias("lines_cents"), good(F.get("lines", 0)["name"]).alias("first_name"))
+    told = C.described(C.coded(X.items_of(rows.select(found.alias("doc_id"), "fields"))), C.versions(spark), ("v2.5",))
+    return told.select(F.col("doc_id.doc_id").alias("doc_id"), "code", "level", "message", *[f"doc_id.{c}" for c in (*names, "n_lines", "lines_cents", "first_name")])
 
 
 XML_SQL = f"""

@@ -70,9 +70,14 @@ def xml_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def xml_items(texts: DataFrame) -> DataFrame:
     """doc_id, items: XML001 for each text, in the form of the rules' items."""
+    return items_of(parsed(texts))
+
+
+def items_of(rows: DataFrame) -> DataFrame:
+    """xml_items of rows of parsed() that are at hand; doc_id may be a struct that has more than the key."""
     level, title, description, recommendation, ok = fixed.CATALOGUE_25["XML001"]
     item = F.when(F.col("fields").isNull(), _item("XML001", level, title, description, recommendation)).otherwise(_item("XML001", "OK", ok))
-    return parsed(texts).select("doc_id", F.array(item.cast(_Value)).alias("items"))
+    return rows.select("doc_id", F.array(item.cast(_Value)).alias("items"))
 
 
 def lines(documents: DataFrame) -> DataFrame:

@@ -209,3 +209,10 @@ def test_places_of_sections_that_letters_touch(spark):
     docs = spark.createDataFrame(rows, "text string, names array<string>")
     got = [r.p for r in docs.select(M.first_places(F.col("text"), F.col("names")).alias("p")).collect()]
     assert [p[:3] for p in got] == [[4, 1, 0], [0, 0], [0], [4, 1], [1, 5, 1]]
+
+
+def test_xml_is_parsed_once(spark):
+    from kerege.plans import checks
+
+    plan = checks.xml_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.lower().count("xmltostructs(") <= 2
