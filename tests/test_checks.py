@@ -215,4 +215,4 @@ def test_xml_is_parsed_once(spark):
     from kerege.plans import checks
 
     plan = checks.xml_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert 0 < plan.lower().count("xmltostructs(") <= 2
+    assert 0 < plan.lower().count("from_xml(") <= 2, plan.count("xml")
