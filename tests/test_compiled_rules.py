@@ -55,3 +55,46 @@ def test_searches_are_made_once(spark):
     assert plan(T.text_bin(F.col("text"), ["БИН"])).count("regexp_extract(") == 1
     assert [r.x for r in text.select(S.fix_mojibake(F.col("text")).alias("x")).collect()] == ["Итого: 1 200,50 тг", "Счет", "", None]
     assert [r.x for r in text.select(T.preferred_total(F.col("text")).alias("x")).collect()] == [""] * 4
+
+
+def test_cells_stay_where_their_documents_are(spark, sf):
+    """Without broadcasts orders and lines are all that is shuffled: cells lie by document from then on."""
+    import re
+
+    from kerege.sources import invoices as I
+
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        plan = X.sheet_documents(I.cells(I.invoices(spark, sf)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+    moved = set(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan))
+    assert moved and all(re.fullmatch(r"(o_orderkey|l_orderkey)#\d+L?, \d+", m) for m in moved), moved
+
+
+def test_neighbours_against_all_pairs(spark):
+    """Sheets with repeated, null and far cells: what meets is what a join on places has."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(3), rng.randrange(-4, 9), rng.randrange(-4, 9), rng.choice(["a", "b", None]), rng.choice(["1", "2", "3", None])) for _ in range(150)]
+    rows += [rows[0], (1, 10**6, 3, "a", "1"), (1, 10**6, 4, "b", None)]
+    cells = spark.createDataFrame(rows, "doc_id long, r int, c int, x string, y string")
+    offsets = [(0, 0), (0, 1), (-1, 0), (2, 1)]
+    wanted, alone = Counter(), Counter()
+    for d, r, c, x, _ in rows:
+        for k, (dr, dc) in enumerate(offsets):
+            found = [y for d2, r2, c2, _, y in rows if (d2, r2, c2) == (d, r + dr, c + dc) and y is not None] if x else []
+            wanted.update((d, r, c, x, k, r + dr, c + dc, y) for y in found)
+            alone.update([(d, r, c, x, k, r + dr, c + dc, None)] if x and not found else [])
+    assert Counter(map(tuple, X.neighbours(cells, "x", "y", offsets).collect())) == wanted
+    assert Counter(map(tuple, X.neighbours(cells, "x", "y", offsets, outer=True).collect())) == wanted + alone
+    near = Counter()
+    for d, r, c, x, _ in rows:
+        near.update((d, r, c, x, r2, c2, y) for d2, r2, c2, _, y in rows if x and y and d2 == d and abs(r - r2) <= 3 and abs(c - c2) <= 3)
+    got = X.around(cells, "x", "y", 3).select("doc_id", "r", "c", "x", F.explode("near").alias("n")).select("doc_id", "r", "c", "x", "n.*")
+    assert Counter(map(tuple, got.collect())) == near
